@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from chronoframe.llm import search
+from chronoframe.llm.html import op9_html_extract
 from chronoframe.llm.licenses import op1_license_scan
+from chronoframe.llm.search import op10_max_score
+from chronoframe.llm.urls import op4_url_filter
 
 
 def queries():
-    return {"op1_license_scan": op1_license_scan}
+    return {
+        "op1_license_scan": op1_license_scan,
+        "op4_url_filter": op4_url_filter,
+        "op9_html_extract": op9_html_extract,
+        "op10_max_score": op10_max_score,
+    }
 
 
 def oracle_sql():
-    return {}
+    return {"op10_max_score": search.SQL}

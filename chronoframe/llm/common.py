@@ -17,19 +17,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]], schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow where `rows` turns one batch (column name -> Python list) into tuples.
 
-    Output leaves in slices of BATCH_ROWS rows, so memory is bounded by one
-    input batch and one output slice.
+    Input is handed on in slices of `batch_rows` rows and output leaves in slices
+    of BATCH_ROWS, so Python holds one Arrow batch and a slice of either.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     out_schema = to_arrow_schema(_parse_datatype_string(schema))
 
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if batch_rows <= BATCH_ROWS:
+            for batch in batches:
+                for at in range(0, batch.num_rows, batch_rows):
+                    yield batch.slice(at, batch_rows)
+            return
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= batch_rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -37,7 +52,7 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]],
             columns = list(zip(*part, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, out_schema, strict=True)], schema=out_schema)
 
-        for batch in batches:
+        for batch in sliced(batches):
             for row in rows({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}):
                 held.append(row)
                 if len(held) >= BATCH_ROWS:
