@@ -119,9 +119,9 @@ def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as double)) as e
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as e
   from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
   from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
