@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from chronoframe.llm import search
+from chronoframe.llm.bpe import op2_bpe_round_trip
 from chronoframe.llm.html import op9_html_extract
 from chronoframe.llm.licenses import op1_license_scan
 from chronoframe.llm.search import op10_max_score
+from chronoframe.llm.tokens import op3_token_counts
 from chronoframe.llm.urls import op4_url_filter
 
 
 def queries():
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_bpe_round_trip": op2_bpe_round_trip,
+        "op3_token_counts": op3_token_counts,
         "op4_url_filter": op4_url_filter,
         "op9_html_extract": op9_html_extract,
         "op10_max_score": op10_max_score,

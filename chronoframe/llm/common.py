@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,11 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]], schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]], schema: str, batch_rows: int = BATCH_ROWS, finish: Callable[[], Iterable[tuple]] = tuple) -> DataFrame:
     """mapInArrow where `rows` turns one batch (column name -> Python list) into tuples.
 
     Input is handed on in slices of `batch_rows` rows and output leaves in slices
     of BATCH_ROWS, so Python holds one Arrow batch and a slice of either.
+    `finish` gives further rows when a partition is through.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,27 +60,46 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]],
                 if len(held) >= BATCH_ROWS:
                     yield packed(held)
                     held = []
+        for row in finish():
+            held.append(row)
+            if len(held) >= BATCH_ROWS:
+                yield packed(held)
+                held = []
         if held:
             yield packed(held)
 
     return df.mapInArrow(run, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+_OWN: list[str] = []
 
-    The folder is the one the session names in spark.checkpoint.dir. Only a
-    local session without one gets a temporary folder of its own.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
+
+    Only a local session that names none gets a temporary folder of its own.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="chronoframe-"))
+    return _OWN[0]
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write `df` as a table in the shared folder and read it back.
+
+    A lost executor costs nothing that is written. The tables of one application
+    stand together in <folder>/chronoframe-<application id> and may go when it ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not (sc.master or "").startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="chronoframe-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/chronoframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def text_or_empty(column: str = "text"):

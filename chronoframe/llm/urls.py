@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import checkpointed, table
+from chronoframe.llm.common import materialized, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,7 +62,7 @@ def template_tree(urls: DataFrame, levels: int = 4, fan_out: int = 20, thin: flo
         .withColumn("segments", F.split(F.col("shape"), "/"))
         .withColumn("done", F.lit(""))
     )
-    leaves = checkpointed(leaves)
+    leaves = materialized(leaves)
     for level in range(2, levels + 2):  # the first segment is what stands before the first slash
         here = F.coalesce(F.try_element_at("segments", F.lit(level)), F.lit(None).cast("string"))
         leaves = leaves.withColumn("segment", here)
@@ -76,7 +76,7 @@ def template_tree(urls: DataFrame, levels: int = 4, fan_out: int = 20, thin: flo
             F.when((F.col("fan") >= fan_out) & (F.col("p_n") < thin * F.col("fan")), F.lit("*")).when(F.col("p_lab").isNotNull() & (F.col("p_lab") > 0) & similar, F.lit("+")).otherwise(F.col("segment")).alias("chosen"),
         )
         leaves = leaves.join(chosen, ["host", "done", "segment"], "left")
-        leaves = checkpointed(leaves.withColumn("done", F.when(F.col("segment").isNull(), F.col("done")).otherwise(F.concat("done", F.lit("/"), "chosen"))).drop("segment", "chosen"))
+        leaves = materialized(leaves.withColumn("done", F.when(F.col("segment").isNull(), F.col("done")).otherwise(F.concat("done", F.lit("/"), "chosen"))).drop("segment", "chosen"))
     rest = F.slice("segments", levels + 2, F.greatest(F.size("segments") - levels - 1, F.lit(0)))
     leaves = leaves.withColumn("template", F.when(F.size(rest) > 0, F.concat("done", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("done")))
     stats = leaves.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
