@@ -23,10 +23,18 @@ from chronoframe.llm.common import arrow_map, materialized, table, text_or_empty
 HELD = 200_000
 
 
+#: Characters beyond these are left to the library: Unicode versions differ there.
+UNUSUAL = regex.compile("[^\\x00-\\u052f\\u1e00-\\u20bf\\u2100-\\u214f\\u3000-\\u30ff\\u4e00-\\u9fff\\uac00-\\ud7a3\\uff00-\\uffef]")
+
+
 class PreTokens:
     """Pre-tokens of a text as the vocabulary file's normalizer and pre-tokenizer give them."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.byte = byte_alphabet()
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
         split = next(p for p in held["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -40,6 +48,10 @@ class PreTokens:
         parts = self.special.split(text)
         found: Counter = Counter()
         for part in parts:
+            if UNUSUAL.search(part):
+                shown = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                found.update(bytes(self.byte[c] for c in token).decode() for token, _ in shown)
+                continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower() of a word's last sigma depends on its place
             found.update(self.find(part.lower()))
