@@ -3,8 +3,8 @@
 Encoding. The last token of the encoding of a prefix is unique, and dropping it
 gives the encoding of a shorter prefix. So the encoder keeps, for each recent
 position, the last token of the prefix that ends there. A token t may follow a
-token s exactly if the two bytes strings joined encode to (s, t) again. Tokens
-are emitted once every position from which a later token may still start agrees
+token s exactly if no merge ever crosses the border between them, which their own
+merge trees tell. Tokens are emitted once every position from which a later token may still start agrees
 on them. The merge list bounds how far that takes: a merge can be undone only by
 a merge of lower rank that takes its right part, that one only by one of yet
 lower rank, and so on. `lookahead` is the longest such chain in bytes.
@@ -45,13 +45,16 @@ class Merges:
         self.ids = tokens
         self.specials = specials
         self.bytes_of = {i: t for t, i in tokens.items()} | {i: s.encode() for s, i in specials.items()}
-        self.rank = {pair: r for r, pair in reversed(list(enumerate(merges)))}
+        self.rank: dict[tuple[int, int], int] = {}
+        for r, (a, b) in enumerate(merges):
+            self.rank.setdefault((tokens[a], tokens[b]), r)
+        self.joined = {(tokens[a], tokens[b]): tokens[a + b] for a, b in merges}
         self.endings = {t[i:] for t in tokens for i in range(len(t))}
         self.beginnings = {t[:i] for t in tokens for i in range(1, len(t))}
         self.longest = max(map(len, tokens))
         self.lookahead = self._lookahead(merges) + self.longest
-        self._follows: dict[tuple[bytes, bytes], bool] = {}
-        self._stands: dict[bytes, bool] = {}
+        self.tree: dict[int, tuple[int, int, int] | None] = {}
+        self.follow: dict[tuple[int, int], bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Merges:
@@ -74,31 +77,41 @@ class Merges:
             most = max(most, reach)
         return most
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain merging of a few bytes, lowest rank first, leftmost first."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.rank.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def stands(self, token: bytes) -> bool:
-        """The token's bytes encode to the token itself."""
-        known = self._stands.get(token)
-        if known is None:
-            known = self._stands[token] = self.merged(token) == [token]
-        return known
-
-    def follows(self, before: bytes, token: bytes) -> bool:
-        """The two tokens stay apart when their bytes are joined."""
-        known = self._follows.get((before, token))
-        if known is None:
-            if len(self._follows) >= 1 << 18:
-                self._follows.clear()
-            known = self._follows[before, token] = self.merged(before + token) == [before, token]
-        return known
+    def split(self, token: int) -> tuple[int, int, int] | None:
+        """Rank, left and right part of the merge that makes the token of its own bytes.
+
+        (-1, token, token) for a byte; None if its bytes encode to anything else.
+        """
+        if token not in self.tree:
+            parts = [self.ids[bytes([b])] for b in self.bytes_of[token]]
+            made = (-1, token, token)
+            while len(parts) > 1:
+                rank, at = min((self.rank.get(pair, 1 << 60), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
+                if rank == 1 << 60:
+                    break
+                made = (rank, parts[at], parts[at + 1])
+                parts[at : at + 2] = [self.joined[made[1:]]]
+            self.tree[token] = made if parts == [token] else None
+        return self.tree[token]
+
+    def follows(self, before: int, token: int) -> bool:
+        """No merge crosses the border of the two tokens.
+
+        The border is followed back through time: of the two merges that made the
+        parts at its sides, the later is undone first; a crossing merge must have
+        come before it to count. Of equal ranks the left one came first.
+        """
+        left, right, until = before, token, 1 << 60
+        while True:
+            if self.rank.get((left, right), 1 << 60) < until:
+                return False
+            a, b = self.split(left), self.split(right)
+            if a[0] > b[0]:
+                until, left = a[0], a[2]
+            elif b[0] >= 0:
+                until, right = b[0] + 1, b[1]
+            else:
+                return True
 
 
 class Transducer:
@@ -106,41 +119,53 @@ class Transducer:
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.data = bytearray()  # bytes from the first token that isn't emitted yet
-        self.last: list[bytes] = [b""]  # last token of the prefix that ends at each position
-        self.before = b""  # the token emitted last
+        self.data = b""  # bytes from the first token that isn't emitted yet
+        self.last: list[int] = [-1]  # last token of the prefix that ends at each position; first, the token emitted last
+        self.size: list[int] = [0]  # and its length
         self.held = 0  # most bytes ever kept
 
     def feed(self, piece: bytes) -> Iterator[int]:
-        m = self.merges
-        for at in range(len(piece)):
-            self.data += piece[at : at + 1]
-            self.last.append(self._last(len(self.data)))
-            if len(self.data) > 2 * m.lookahead:
+        step = self.merges.lookahead
+        for at in range(0, len(piece), step):
+            self._read(piece[at : at + step])
+            if len(self.data) > 2 * step:
                 yield from self._emit()
-        self.held = max(self.held, len(self.data))
-
-    def _last(self, end: int) -> bytes:
-        m, data = self.merges, self.data
-        found = []
-        for n in range(1, min(end, m.longest) + 1):
-            part = bytes(data[end - n : end])
-            if part not in m.endings:
-                break
-            if part in m.ids:
-                found.append(part)
-        for part in reversed(found):
-            before = self.last[end - len(part)] if end > len(part) else self.before
-            if m.stands(part) and (not before or m.follows(before, part)):
-                return part
-        raise ValueError("the vocabulary lacks a byte")
+
+    def _read(self, piece: bytes) -> None:
+        m = self.merges
+        ids, endings, follow, longest = m.ids, m.endings, m.follow, m.longest
+        begin = len(self.data)
+        self.data = data = self.data + piece
+        self.held = max(self.held, len(data))
+        last, size = self.last, self.size
+        for end in range(begin + 1, len(data) + 1):
+            found = []
+            for start in range(end - 1, max(-1, end - 1 - longest), -1):
+                part = data[start:end]
+                if (token := ids.get(part)) is not None:
+                    found.append((token, start))
+                elif part not in endings:
+                    break
+            for token, start in reversed(found):
+                before = last[start]
+                known = follow.get((before, token))
+                if known is None:
+                    if len(follow) >= 1 << 19:
+                        follow.clear()
+                    known = follow[before, token] = m.split(token) is not None and (before < 0 or m.follows(before, token))
+                if known:
+                    last.append(token)
+                    size.append(end - start)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
 
     def _path(self, end: int) -> list[int]:
         """Token ends from `end` back to the first."""
         ends = []
         while end:
             ends.append(end)
-            end -= len(self.last[end])
+            end -= self.size[end]
         return ends
 
     def _emit(self) -> Iterator[int]:
@@ -148,41 +173,44 @@ class Transducer:
         end = len(self.data)
         agreed = set(self._path(end))
         for start in range(max(1, end - self.merges.longest), end):
-            if bytes(self.data[start:end]) in self.merges.beginnings:
+            if self.data[start:end] in self.merges.beginnings:
                 agreed.intersection_update(self._path(start))
-        if not agreed:
-            return
-        stop = max(agreed)
-        self.held = max(self.held, len(self.data))
-        yield from self._tokens(stop)
-        del self.data[:stop]
-        del self.last[1 : stop + 1]
-
-    def _tokens(self, stop: int) -> Iterator[int]:
-        for end in reversed(self._path(stop)):
-            self.before = self.last[end]
-            yield self.merges.ids[self.before]
-
-    def finish(self) -> Iterator[int]:
-        yield from self._tokens(len(self.data))
-        self.data.clear()
-        del self.last[1:]
-        self.before = b""
+        if agreed:
+            stop = max(agreed)
+            yield from self._tokens(stop)
+            self.data = self.data[stop:]
+            del self.last[:stop], self.size[:stop]
+            self.size[0] = 0
+
+    def _tokens(self, stop: int) -> list[int]:
+        return [self.last[end] for end in reversed(self._path(stop))]
+
+    def finish(self) -> list[int]:
+        out = self._tokens(len(self.data))
+        self.data, self.last, self.size = b"", [-1], [0]
+        return out
 
 
 class _Known(dict):
-    """Encoded pre-tokens seen lately, as packed little-endian 32-bit ids; bounded."""
+    """Encoded pre-tokens seen lately, as packed little-endian 32-bit ids.
+
+    Two generations of `most` at most: what is met again moves to the new one.
+    """
 
     def __init__(self, merges: Merges, most: int, longest: int):
         self.merges, self.most, self.longest = merges, most, longest
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        run = Transducer(self.merges)
-        ids = array("I", run.feed(piece.encode()))
-        ids.extend(run.finish())
-        packed = ids.tobytes()
+        packed = self.old.get(piece)
+        if packed is None:
+            run = Transducer(self.merges)
+            ids = array("I", run.feed(piece.encode()))
+            ids.extend(run.finish())
+            packed = ids.tobytes()
         if len(piece) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -191,7 +219,7 @@ class _Known(dict):
 class Encoder:
     """Text to ids. Special strings inside a text become their own ids."""
 
-    def __init__(self, merges: Merges, known: int = 150_000):
+    def __init__(self, merges: Merges, known: int = 300_000):
         self.merges = merges
         self.known = _Known(merges, known, 64)
         self.pre_token = regex.compile(PRE_TOKEN)
