@@ -8,6 +8,7 @@ frequency). Ids are never made.
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections import Counter
@@ -58,6 +59,13 @@ class PreTokens:
         return found, len(parts) - 1
 
 
+@functools.cache
+def pre_tokens(path: str) -> PreTokens:
+    """One for each vocabulary file and Python worker."""
+    return PreTokens(path)
+
+
+@functools.cache
 def piece_counter(path: str):
     """Function from pre-tokens to their numbers of pieces."""
     from tokenizers import Tokenizer
@@ -84,7 +92,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, hot: int = 1 <<
         return out
 
     def tally(batch):
-        pre = PreTokens(path)
+        pre = pre_tokens(path)
         for text in batch["text"]:
             seen.update(pre.counts(text)[0])
             if len(seen) >= HELD:
@@ -99,10 +107,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, hot: int = 1 <<
     pieces = materialized(arrow_map(distinct, sized, "token string, n long, pieces int"))
     top = pieces.orderBy(F.desc("n"), "token").limit(hot).select("token", "pieces").toArrow().to_pydict()
     common = dict(zip(top["token"], top["pieces"], strict=True))
-    pre_tokens: dict = {}
 
     def weigh(batch):
-        pre = pre_tokens.get(path) or pre_tokens.setdefault(path, PreTokens(path))
+        pre = pre_tokens(path)
         for row, key, text in zip(batch["row"], batch["id"], batch["text"], strict=True):
             found, total = pre.counts(text)
             for token, n in found.items():
