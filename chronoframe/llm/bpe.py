@@ -261,19 +261,19 @@ def encoder(path: str) -> Encoder:
     return _LOADED[path]
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode every whole text and decode it again, one row for each input row.
 
     Returns `id_col`, n_tokens, ids_sha256 (of the ids as little-endian unsigned
-    32-bit integers), decoded_sha256 and, unless `with_ids` is false, ids and
-    decoded. Null and empty texts have no tokens and an empty decoded text. Null
+    32-bit integers), decoded_sha256, unless `with_ids` is false ids and decoded,
+    and the columns `keep`. Null and empty texts have no tokens and an empty decoded text. Null
     ids and repeated rows stay; an empty table gives an empty result; columns not
     named are ignored. `path` must be readable on every executor.
     """
 
     def rows(batch):
         enc = encoder(path)
-        for key, text in zip(batch["id"], batch["text"], strict=True):
+        for key, *kept_on, text in zip(batch["id"], *(batch[f"keep{i}"] for i in range(len(keep))), batch["text"], strict=True):
             coded, plain, dec, n, kept, shown = hashlib.sha256(), hashlib.sha256(), Decoder(enc.merges), 0, [], []
             for packed in enc.pieces(text):
                 ids = array("I", packed)
@@ -284,11 +284,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     kept.extend(ids)
                     shown.append(part)
             plain.update((part := dec.finish()).encode())
-            yield (key, n, coded.hexdigest(), plain.hexdigest(), *((kept, "".join(shown) + part) if with_ids else ()))
+            yield (key, n, coded.hexdigest(), plain.hexdigest(), *((kept, "".join(shown) + part) if with_ids else ()), *kept_on)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    return arrow_map(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), rows, schema).withColumnRenamed("id", id_col)
+    kind = lambda c: docs.schema[c].dataType.simpleString()
+    schema = f"id {kind(id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids + "".join(f", keep{i} {kind(c)}" for i, c in enumerate(keep))
+    given = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)), text_or_empty(text_col).alias("text"))
+    out = arrow_map(given, rows, schema)
+    return out.toDF(id_col, *out.columns[1 : len(out.columns) - len(keep)], *keep)
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

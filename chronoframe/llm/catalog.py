@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from chronoframe.llm import search
 from chronoframe.llm.bpe import op2_bpe_round_trip
 from chronoframe.llm.html import op9_html_extract
@@ -27,6 +28,7 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_html_extract": op9_html_extract,
         "op10_max_score": op10_max_score,
+        "pipeline": corpus_pipeline.run,
     }
 
 

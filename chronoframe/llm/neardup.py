@@ -249,5 +249,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return signed.select("id", "node").join(by_node, F.col("node") == F.col("n")).select(F.col("id").alias(id_col), "class_id")
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One document of each class, the one of the smallest id, with all its columns.
+
+    Rows without an id stay only where no other row of their class has one.
+    Repeated rows of an id become one.
+    """
+    classes = materialized(near_duplicates(docs, id_col, text_col, **how))
+    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    kept = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(named.alias("__key"))
+    repeated = kept.groupBy("__key").count().filter("count > 1")
+    out = docs.join(kept.distinct(), named == F.col("__key"), "left_semi")
+    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+
+
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

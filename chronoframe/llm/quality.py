@@ -120,6 +120,15 @@ def _stratum(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def _rejected(cutoffs: DataFrame) -> tuple[DataFrame, Column]:
+    """The cutoffs under names that clash with no others, and the condition that a measure exceeds its own."""
+    named = cutoffs.select(F.col("__stratum").alias("__s"), *(F.col(m).alias(f"__cut_{m}") for m in GRID))
+    over = F.lit(False)
+    for m in GRID:
+        over = over | F.coalesce(F.col(m) > F.col(f"__cut_{m}"), F.lit(False))
+    return named, over
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **control) -> DataFrame:
     """Features and verdict of every document, one row for each input row.
 
@@ -131,13 +140,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     rows = docs.select(F.col(id_col).alias("__id"), _stratum(stratum_col).alias("__stratum"), F.col(text_col))
     features = materialized(text_features(rows, text_col))
-    cutoffs = risk_controlled(features, labels.select(F.col(id_col).alias("__id"), "quality"), "__id", "__stratum", **control)
-    cutoffs = cutoffs.select(F.col("__stratum").alias("__s"), *(F.col(m).alias(f"__{m}") for m in GRID))
-    rejected = F.lit(False)
-    for m in GRID:
-        rejected = rejected | F.coalesce(F.col(m) > F.col(f"__{m}"), F.lit(False))
+    cutoffs, over = _rejected(risk_controlled(features, labels.select(F.col(id_col).alias("__id"), "quality"), "__id", "__stratum", **control))
     out = features.join(cutoffs, features["__stratum"] == cutoffs["__s"], "left")
-    return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), *GRID)
+    return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), *GRID)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **control) -> DataFrame:
+    """The documents that quality_rules keeps, with all their columns.
+
+    Whole rows are not shuffled: the verdict is found anew beside each row.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), _stratum(stratum_col).alias("__stratum"), F.col(text_col).alias("__body"))
+    features = materialized(text_features(whole.drop("__row"), "__body"))
+    cutoffs, over = _rejected(risk_controlled(features, labels.select(F.col(id_col).alias("__id"), "quality"), "__id", "__stratum", **control))
+    cutoffs = materialized(cutoffs)
+    out = text_features(whole, "__body").join(cutoffs, F.col("__stratum") == F.col("__s"), "left")
+    return out.filter(~F.col("base_failed") & ~over).select("__row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
