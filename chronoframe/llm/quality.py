@@ -107,10 +107,10 @@ def risk_controlled(features: DataFrame, labels: DataFrame, key: str, stratum: s
     ordinal = F.explode(F.sequence(F.lit(1), F.element_at(F.create_map(*(x for m, cuts in grid.items() for x in (F.lit(m), F.lit(len(cuts))))), F.col("measure"))))
     beyond = lambda what: F.aggregate(F.filter("cells", lambda c: c["level"] >= F.col("ordinal")), F.lit(0).cast("long"), lambda a, c: a + c[what])
     tried = sums.select("*", ordinal.alias("ordinal")).select(stratum, "measure", "n", "ordinal", beyond("good").alias("k"), beyond("bad").alias("caught"))
-    strata = features.select(stratum).distinct().agg(F.count("*").alias("strata"))
-    tried = tried.join(strata, F.lit(True)).withColumn("p", binomial_tail(F.col("n"), F.col("k"), alpha / len(grid)))
+    strata = features.select(stratum).distinct().count()
+    tried = tried.withColumn("p", binomial_tail(F.col("n"), F.col("k"), alpha / len(grid)))
     worth = F.col("caught") - cost * F.col("k")
-    allowed = tried.filter((F.col("p") * F.col("strata") * len(grid) <= delta) & (worth > 0))
+    allowed = tried.filter((F.col("p") * (strata * len(grid)) <= delta) & (worth > 0))
     best = allowed.groupBy(stratum, "measure").agg(F.max_by("ordinal", F.struct(worth, -F.col("ordinal"))).alias("ordinal"))
     cutoffs = F.create_map(*(x for m, cuts in grid.items() for x in (F.lit(m), F.array(*map(F.lit, cuts)))))
     return best.withColumn("cutoff", F.element_at(F.element_at(cutoffs, F.col("measure")), F.col("ordinal"))).groupBy(stratum).pivot("measure", list(grid)).agg(F.first("cutoff"))
@@ -154,8 +154,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     features = materialized(text_features(whole.drop("__row"), "__body"))
     cutoffs, over = _rejected(risk_controlled(features, labels.select(F.col(id_col).alias("__id"), "quality"), "__id", "__stratum", **control))
     cutoffs = materialized(cutoffs)
-    out = text_features(whole, "__body").join(cutoffs, F.col("__stratum") == F.col("__s"), "left")
-    return out.filter(~F.col("base_failed") & ~over).select("__row.*")
+    # a filter moved below the features would spell them out inside each other, and count windows once for each word
+    judged = text_features(whole, "__body").withColumn("__fence", F.monotonically_increasing_id())
+    out = judged.join(cutoffs, F.col("__stratum") == F.col("__s"), "left")
+    return out.filter((F.col("__fence") >= 0) & ~F.col("base_failed") & ~over).select("__row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ from chronoframe.llm.common import arrow_map, materialized, table, text_or_empty
 WORD = re.compile(r"\w+")
 DIGIT = re.compile(r"\d")
 ORDER, SHARED = 6, 2
-DISCOUNT = 0.75
-GATE, SPAN = 6.0, 6.0
+DISCOUNT = 3
+GATE, SPAN = 5.0, 6.0
 #: Distinct words that a task holds before it hands its counts on, or keeps ratios of.
 HELD = 200_000
 #: Longer words are spelled in parts of this length.
