@@ -35,18 +35,22 @@ DIGIT = re.compile(r"\d")
 ORDER, SHARED = 6, 2
 DISCOUNT = 3
 GATE, SPAN = 5.0, 6.0
-#: Distinct words that a task holds before it hands its counts on, or keeps ratios of.
+#: Distinct words that a task holds before it hands its counts on.
 HELD = 200_000
+#: Words, twice, and pieces of words whose ratios a task keeps.
+WORDS, PIECES = 250_000, 800_000
 #: Longer words are spelled in parts of this length.
 PART = 48
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(DIGIT.sub("0", text.lower()))
+    return WORD.findall(text.lower())
 
 
 def spelled(word: str) -> str:
-    """The word between marks of its start and end; characters beyond the Latin ones fold to 256 others."""
+    """The word between marks of its start and end; digits are one, and characters beyond the Latin ones fold to 256 others."""
+    if not word.isalpha():
+        word = DIGIT.sub("0", word)
     if not word.isascii():
         word = "".join([c if c < "\u0250" else chr(0x250 + ord(c) % 256) for c in word])
     return f"^{word}$"
@@ -134,7 +138,8 @@ class Model:
         self.shared = dict(shared)
         self.shared_after = self._after(self.shared)
         self.letters = max(1, len({g[-1] for g in self.shared}))
-        self.known: dict[str, float] = {}  # words met lately
+        self.known: dict[str, float] = {}  # words met lately, and before
+        self.old: dict[str, float] = {}
         self.pieces: dict[str, float] = {}
 
     @staticmethod
@@ -171,7 +176,7 @@ class Model:
                 gram = x[max(0, i - ORDER) : i]
                 r = pieces.get(gram)
                 if r is None:
-                    if len(pieces) >= HELD:
+                    if len(pieces) >= PIECES:
                         pieces.clear()
                     r = pieces[gram] = self._piece(gram)
                 total += r
@@ -185,10 +190,14 @@ class Model:
         for w in words:
             x = known.get(w)
             if x is None:
-                if len(known) >= HELD:
-                    known.clear()
-                x = self.word_ratio(w)
-                x = known[w] = min(x - GATE, SPAN) if x > GATE else max(x + GATE, -SPAN) if x < -GATE else 0.0
+                if len(known) >= WORDS:
+                    self.old, self.known = known, {}
+                    known = self.known
+                x = self.old.get(w)
+                if x is None:
+                    x = self.word_ratio(w)
+                    x = min(x - GATE, SPAN) if x > GATE else max(x + GATE, -SPAN) if x < -GATE else 0.0
+                known[w] = x
             if x > 0:
                 more += x
             else:
@@ -249,8 +258,14 @@ def _training(labels: DataFrame, id_col: str, folds: int, held_out: int) -> Data
     return known.filter(F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(folds)) != held_out)
 
 
-def scorer(fitted):
+def shared(docs: DataFrame, fitted):
+    """The model as a broadcast: a worker keeps it, with the ratios it has found, from task to task."""
+    return docs.sparkSession.sparkContext.broadcast(fitted)
+
+
+def scorer(broadcast):
     """Function from a text to its probability of being toxic."""
+    fitted = broadcast.value
     if fitted is None:
         return lambda text: 0.0
     model, w = fitted
@@ -273,7 +288,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, fold
     other columns are ignored.
     """
     rows_in = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
-    fitted = fit(rows_in, _training(labels, id_col, folds, held_out), per_class)
+    fitted = shared(docs, fit(rows_in, _training(labels, id_col, folds, held_out), per_class))
 
     def rows(batch):
         score = scorer(fitted)
@@ -292,7 +307,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, folds: i
     from pyspark.sql.types import DoubleType
 
     rows_in = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
-    fitted = fit(rows_in, _training(labels, id_col, folds, held_out), per_class)
+    fitted = shared(docs, fit(rows_in, _training(labels, id_col, folds, held_out), per_class))
 
     @F.pandas_udf(DoubleType())
     def toxicity(texts):
