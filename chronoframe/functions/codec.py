@@ -105,7 +105,7 @@ def decode(chunk: bytes | None) -> Iterator[tuple[int, float]]:
                     change = read(64)
                     change -= (change >> 63) << 64
             step += change
-            time += step
+            time = (time + step + (1 << 63) & M64) - (1 << 63)  # steps beyond 64 bits wrap
             if read(1):
                 if read(1):
                     lead, n = read(5), read(6) or 64

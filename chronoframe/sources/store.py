@@ -16,12 +16,15 @@ from chronoframe.operators.matchers import all_of, in_range
 DAY = 86_400_000
 
 
-def write(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 1) -> None:
-    """Rows of a name and day meet in `files_per_day` tasks, by series: hot metrics take several."""
+def write(df: DataFrame, path: str, mode: str = "append", files_per_day: int = 1, table: str = "samples") -> None:
+    """Rows of a name and day meet in `files_per_day` tasks, by series: hot metrics take several.
+
+    `table`: the directory below `path`.
+    """
     day = F.expr(f"ts div {DAY}").cast("int")
     spread = F.pmod(F.xxhash64("series_key"), F.lit(files_per_day))
     out = df.withColumn("day", day).repartition("name", "day", spread).sortWithinPartitions("name", "day", "series_key", "ts")
-    out.write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy("name", "day").parquet(f"{path}/samples")
+    out.write.mode(mode).option("maxRecordsPerFile", 5_000_000).partitionBy("name", "day").parquet(f"{path}/{table}")
 
 
 def write_series(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+from chronoframe.model import SAMPLES
 from chronoframe.operators.aggregates import greatest, least
 from chronoframe.sources import requests, store
 
@@ -27,15 +28,15 @@ def land(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQ
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.write(batch, f"{path}/batch={number}", mode="overwrite")
+            store.write(batch, path, mode="overwrite", table=f"batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """All samples that `land` has written."""
-    rows = spark.read.parquet(f"{path}/batch=*/samples")
-    return rows.select("series_key", "labels", "ts", "value", "seq")
+    rows = spark.read.schema(SAMPLES + ", batch long, day int").parquet(path)
+    return rows.select(*[c.split()[0] for c in SAMPLES.split(", ")])
 
 
 def rollup_stream(stream: DataFrame, width_ms: int, late: str = "10 minutes") -> DataFrame:
