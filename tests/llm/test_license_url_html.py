@@ -63,7 +63,7 @@ def test_url_tree_generalises(spark):
 
 def test_url_tree_merges_similar(spark):
     rows = [(i, f"http://s.test/{d}/page-{i}") for i, d in enumerate(["a", "b"] * 60)]
-    labels = [(u, "block" if i % 10 else "allow") for i, u in rows]
+    labels = [(u, "block" if i % 9 else "allow") for i, u in rows]
     got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=spark.createDataFrame(labels, "url string, label string")).collect()
     assert {(r["template"], r["verdict"]) for r in got} == {("/+/page-<n>", "block")}
 
