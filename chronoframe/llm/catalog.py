@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chronoframe.llm import search
+from chronoframe.llm import quality, search
 from chronoframe.llm.bpe import op2_bpe_round_trip
 from chronoframe.llm.html import op9_html_extract
 from chronoframe.llm.licenses import op1_license_scan
@@ -33,4 +33,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_max_score": search.SQL}
+    return {"op6_quality_rules": quality.SQL, "op10_max_score": search.SQL}

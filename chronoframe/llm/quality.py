@@ -104,9 +104,11 @@ def risk_controlled(features: DataFrame, labels: DataFrame, key: str, stratum: s
     # level: how many of the cutoffs, laxest first, the value exceeds
     cells = long.groupBy(stratum, "measure", "level").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     sums = cells.groupBy(stratum, "measure").agg(F.sum("good").alias("n"), F.collect_list(F.struct("level", "good", "bad")).alias("cells"))  # a cell for each level at most
-    ordinal = F.explode(F.sequence(F.lit(1), F.element_at(F.create_map(*(x for m, cuts in grid.items() for x in (F.lit(m), F.lit(len(cuts))))), F.col("measure"))))
-    beyond = lambda what: F.aggregate(F.filter("cells", lambda c: c["level"] >= F.col("ordinal")), F.lit(0).cast("long"), lambda a, c: a + c[what])
-    tried = sums.select("*", ordinal.alias("ordinal")).select(stratum, "measure", "n", "ordinal", beyond("good").alias("k"), beyond("bad").alias("caught"))
+    sums = sums.withColumn("steps", F.element_at(F.create_map(*(x for m, cuts in grid.items() for x in (F.lit(m), F.lit(len(cuts))))), F.col("measure")))
+    # a value exceeds the cutoff of an ordinal if it exceeds that many of the strictest
+    over = F.col("steps") + 1 - F.col("ordinal")
+    beyond = lambda what: F.aggregate(F.filter("cells", lambda c: c["level"] >= over), F.lit(0).cast("long"), lambda a, c: a + c[what])
+    tried = sums.select("*", F.explode(F.sequence(F.lit(1), F.col("steps"))).alias("ordinal")).select(stratum, "measure", "n", "ordinal", beyond("good").alias("k"), beyond("bad").alias("caught"))
     strata = features.select(stratum).distinct().count()
     tried = tried.withColumn("p", binomial_tail(F.col("n"), F.col("k"), alpha / len(grid)))
     worth = F.col("caught") - cost * F.col("k")
@@ -162,3 +164,58 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _sql(alpha: float = 0.03, delta: float = 0.05, cost: float = 10.0) -> str:
+    """The same in DuckDB: windows by their words, the binomial tail by lgamma."""
+    grid = ", ".join(f"('{m}', {i}, {c})" for m, cuts in GRID.items() for i, c in enumerate(cuts, 1))
+    rate = alpha / len(GRID)
+    return rf"""
+with d as (select row_number() over () as r, doc_id, coalesce(lang, '') as s, coalesce(text, '') as t from documents),
+w as (
+  select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+  from d
+),
+g as (select r, i, ws[i] as a, ws[i + 1] as b, ws[i + 2] as c from (select r, ws, unnest(range(1, len(ws) - 1)) as i from w)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from g) where n > 1),
+covered as (select r, count(distinct j) as n from (select r, unnest([i, i + 1, i + 2]) as j from twice) group by r),
+f as (
+  select w.r, doc_id, s, len(ws) as n_words, length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) as word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
+    coalesce(covered.n, 0) as n_repeat_words, len(regexp_extract_all(t, '\p{{Lu}}')) as upper, len(regexp_extract_all(t, '[!?]')) as marks
+  from w left join covered using (r)
+),
+m as (
+  select r, doc_id, s, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    coalesce(n_symbols / nullif(word_chars, 0), 0.0::double) as symbol_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0::double) as dup_line_ratio,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0.0::double) as repeat_ratio, coalesce(upper / nullif(word_chars, 0), 0.0::double) as upper_ratio,
+    coalesce(marks / nullif(n_words, 0), 0.0::double) as mark_ratio, coalesce(word_chars / nullif(n_words, 0), 0.0::double) as mean_word
+  from f
+),
+long as (unpivot (select r, doc_id, s, {", ".join(GRID)} from m) on {", ".join(GRID)} into name measure value v),
+grid(measure, ordinal, cutoff) as (values {grid}),
+known as (select doc_id, max(quality) as quality from labels where quality in (0, 1) group by doc_id),
+tried as (
+  select s, measure, ordinal, cutoff, count(*) filter (quality = 1) as n,
+    count(*) filter (quality = 1 and v > cutoff) as k, count(*) filter (quality = 0 and v > cutoff) as caught
+  from long join known using (doc_id) join grid using (measure) group by all
+),
+tail as (
+  select s, measure, ordinal, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate}))) as p
+  from (select *, unnest(range(0, k + 1)) as i from tried where k < n * {rate}) group by all
+),
+best as (
+  select s, measure, arg_max(cutoff, (caught - {cost} * k, -ordinal)) as cutoff
+  from tried join tail using (s, measure, ordinal)
+  where p * {len(GRID)} * (select count(distinct s) from m) <= {delta} and caught - {cost} * k > 0
+  group by all
+),
+rejected as (select distinct r from long join best using (s, measure) where v > cutoff)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and r not in (select r from rejected) as kept, {", ".join(GRID)}
+from m
+"""
+
+
+SQL = _sql()
