@@ -119,16 +119,16 @@ def test_mixing(spark):
     rows = [(i, _words(rng, rng.randint(1, 300)), rng.choice(["s0"] * 6 + ["s1", "s2", None]), rng.choice(["en", "en", "fr"])) for i in range(1500)] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     targets = {"source": {"s0": 0.3, "s1": 0.3, "s2": 0.3, "*": 0.1}, "lang": {"en": 0.5, "fr": 0.5, "*": 0.0}, "topic": {"short": 0.3, "medium": 0.7, "long": 0.1, "tabular": 0.1}}
-    got = mix_sources(df, keep=0.1, targets=targets)
+    got = mix_sources(df, keep=0.03, targets=targets)
     total = got.agg(F.sum(F.col("n_tokens") * F.col("probability"))).first()[0]
     for dim in ("source", "lang"):
         share = {r[0]: r[1] / total for r in got.groupBy(dim).agg(F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
         for k, v in targets[dim].items():
             if k != "*":
                 assert share[k] == pytest.approx(v, rel=1e-3)
-    assert total == pytest.approx(0.1 * got.agg(F.sum("n_tokens")).first()[0], rel=1e-9)
+    assert total == pytest.approx(0.03 * got.agg(F.sum("n_tokens")).first()[0], rel=1e-9)
     kept = {r["doc_id"] for r in got.filter("kept").collect()}
-    sample = sample_mixed(df, keep=0.1, targets=targets)
+    sample = sample_mixed(df, keep=0.03, targets=targets)
     assert sample.columns == df.columns and {r["doc_id"] for r in sample.collect()} == kept and 0 < len(kept) < 600
     assert mix_sources(df.limit(0)).count() == 0 and got.count() == len(rows)
 
