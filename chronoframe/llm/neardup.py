@@ -29,8 +29,10 @@ from chronoframe.llm.common import arrow_map, materialized, table, text_or_empty
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 30
 K = ROWS * BANDS
-#: Signatures that agree in a smaller share are not compared exactly: six standard errors below the threshold.
-LIKELY = 0.62
+#: Signatures that agree in a smaller share are not compared exactly: over four and a half standard errors below the threshold.
+LIKELY = 0.66
+#: Members of a bucket that are compared at a time.
+CHUNK = 256
 U = np.uint64
 
 
@@ -191,6 +193,40 @@ def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, weighted: bool,
     return arrow_map(both.select("a", "b", "sa", "sb"), compared, "a binary, b binary", batch_rows=64).distinct()
 
 
+def _across(shared: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of members of one bucket that lie in different components, each once.
+
+    Only buckets that still hold several components are looked at. Their members
+    are packed, about CHUNK to a row, and compared pack by pack; what leaves are
+    the likely pairs. A pair of several buckets counts in its first band, and
+    pairs with a hub have been compared before.
+    """
+    inside = shared.join(labels, "node", "left").select("bucket", "band", "low", "high", "node", F.coalesce("label", "node").alias("label"))
+    split = inside.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).filter("l0 <> l1").select("bucket", "size")
+    open_ = inside.join(split, "bucket").join(sigs, "node")
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK))
+    packs = open_.groupBy("bucket", chunk.alias("chunk")).agg(F.min("band").alias("band"), F.min("low").alias("low"), F.min("high").alias("high"), F.collect_list(F.struct("node", "label", "sig")).alias("a"))
+    packs = materialized(packs)
+    other = packs.select(F.col("bucket").alias("bucket_b"), F.col("chunk").alias("chunk_b"), F.col("a").alias("b"))
+    both = packs.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("chunk") <= F.col("chunk_b")))
+
+    def rows(batch):
+        for band, low, high, same, a, b in zip(*(batch[c] for c in ("band", "low", "high", "same", "a", "b")), strict=True):
+            x, y = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint16).reshape(len(side), BANDS, ROWS) for side in (a, b))
+            label = np.array([m["label"].hex() for m in b])
+            for i, m in enumerate(a):
+                if m["node"] in (low, high):
+                    continue
+                equal = y == x[i]
+                first = equal.all(axis=2).argmax(axis=1) == band
+                for j in np.flatnonzero(first & (equal.mean(axis=(1, 2)) >= LIKELY) & (label != m["label"].hex())):
+                    if b[j]["node"] not in (low, high) and (j > i or not same):
+                        yield tuple(sorted((m["node"], b[j]["node"])))
+
+    given = both.select("band", "low", "high", (F.col("chunk") == F.col("chunk_b")).alias("same"), "a", "b")
+    return arrow_map(given, rows, "a binary, b binary", batch_rows=4).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for all nodes of the links (a, b).
 
@@ -224,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialized(_signed(texts, weighted))
     reps = signed.groupBy("node").agg(F.min("id").alias("id"))
     sigs = signed.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))  # copies count once
-    placed = sigs.select("node", F.explode("bands").alias("bucket"))
+    placed = sigs.select("node", F.posexplode("bands").alias("band", "bucket"))
     hubs = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     shared = materialized(placed.join(hubs, "bucket"))
     sigs = materialized(sigs.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi"))
@@ -232,12 +268,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialized(_linked(materialized(_likely(star, sigs)), texts, reps, weighted, threshold))
     labels = components(links)
 
-    inside = shared.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    split = inside.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
-    open_ = materialized(inside.join(split, "bucket", "left_semi"))
-    a, b = open_.select("bucket", F.col("node").alias("a"), F.col("label").alias("la")), open_.select(F.col("bucket").alias("bucket_b"), F.col("node").alias("b"), F.col("label").alias("lb"))
-    across = a.join(b, (F.col("bucket") == F.col("bucket_b")) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    across = materialized(_likely(across.join(star, ["a", "b"], "left_anti"), sigs))
+    across = materialized(_across(shared, labels, sigs))
     if not across.isEmpty():
         more = materialized(_linked(across, texts, reps, weighted, threshold))
         if not more.isEmpty():
