@@ -25,7 +25,7 @@ START, END = T0 + 8 * DAY, T0 + 20 * DAY
 RAW = "raw as (select event_type as name, cast(user_id as varchar) as usr, event_type || '{user=' || user_id || '}' as series_key, epoch_us(ts) // 1000 as ts, value, event_id as seq from events)"
 BUCKET = f"bucket as (select event_type as name, cast(user_id as varchar) as usr, event_type || '{{user=' || user_id || '}}' as series_key, (epoch_us(ts) // 1000) // {DAY} * {DAY} as ts, round(sum(value), 2) as value from events group by 1, 2, 3, 4)"
 COUNTER = "counter as (select event_type || '_total' as name, cast(user_id as varchar) as usr, event_type || '_total{user=' || user_id || '}' as series_key, epoch_us(ts) // 1000 as ts, cast(row_number() over (partition by event_type, user_id order by ts, event_id) %s as double) as value, event_id as seq from events)"
-SHIP = "ship as (select l_returnflag as rf, l_linestatus as ls, epoch_us(l_shipdate) // 1000 as ts, l_quantity as value, l_orderkey * 8 + l_linenumber as seq from lineitem)"
+SHIP = "ship as (select l_returnflag as rf, l_linestatus as ls, epoch_us(l_shipdate) // 1000 as ts, l_quantity as value, (l_orderkey * 8 + l_linenumber) * 100 + l_quantity::bigint as seq from lineitem)"
 FIRST = "ship1 as (select rf, ls, ts, arg_min(value, seq) as value from ship group by all)"
 RATE = "lagged as (select *, lag(value) over (partition by series_key order by ts, seq) as before from src), rates as (select series_key, any_value(name) as name, any_value(usr) as usr, max(ts) as ts, sum(case when before is null then 0 when value >= before then value - before else value end) / ((max(ts) - min(ts)) / 1000.0) as value from lagged group by series_key having count(*) >= 2 and max(ts) > min(ts))"
 

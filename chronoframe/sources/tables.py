@@ -41,4 +41,4 @@ def events_counter(spark: SparkSession, sf_dir: str, modulo: int | None = None)
 def lineitem_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items' quantities at their ship date: many samples of a series at one timestamp."""
     labels = F.create_map(F.lit("returnflag"), F.col("l_returnflag"), F.lit("linestatus"), F.col("l_linestatus"))
-    return samples(read(spark, sf_dir, "lineitem"), F.lit("l_quantity"), labels, millis("l_shipdate"), F.col("l_quantity"), F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    return samples(read(spark, sf_dir, "lineitem"), F.lit("l_quantity"), labels, millis("l_shipdate"), F.col("l_quantity"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long"))
