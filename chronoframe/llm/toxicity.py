@@ -1,21 +1,21 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One model is fitted to toxic and one to ordinary labelled documents, as many of
-one class as of the other. Each spells the words of a text: a character is
+One model is fitted to toxic and one to ordinary labelled documents. Each spells the words of a text: a character is
 predicted from up to ORDER - 1 characters before it in its word,
 
-    p(x | h) = (max(c(h x) - D, 0) + D * T(h) * p(x | h without its first)) / c(h)
+    p(x | h) = (c(h x) - D(c(h x)) + M(h) * p(x | h without its first)) / c(h)
 
-with the class's counts c and numbers of continuations T; below the longest
+with the class's counts c, discounts D estimated from the counts of counts of
+each order, below the count itself, and the mass M(h) that they leave; below the longest
 history and except at a word's start, counts are of distinct characters on the
 left. Histories that a class never saw back off at once; from one character on,
 both classes share counts taken from the vocabulary of the whole corpus. So rare
 and unseen words are judged by the stems they share with others.
 
-A word's log-likelihood ratio within +-GATE counts as none, most of it being
+A word's log-likelihood ratio within +-gate counts as none, most of it being
 chance; what lies beyond counts up to SPAN. A document's score is these ratios'
-sum for each word, turned into a probability by a logistic curve fitted to
-labelled documents that the counts don't hold.
+sum for each word, turned into a probability by a logistic curve. Gate and curve
+are those under which labelled documents that the counts don't hold are likeliest.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ from chronoframe.llm.common import arrow_map, materialized, table, text_or_empty
 WORD = re.compile(r"\w+")
 DIGIT = re.compile(r"\d")
 ORDER, SHARED = 6, 2
-DISCOUNT = 3
-GATE, SPAN = 5.0, 6.0
+#: Gates among which the labelled documents choose.
+GATES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
+SPAN = 6.0
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 200_000
 #: Words, twice, and pieces of words whose ratios a task keeps.
@@ -122,6 +123,16 @@ def class_counts(train: DataFrame) -> DataFrame:
     return arrow_map(train.select("toxic", "text"), rows, "toxic int, gram string, n long", finish=lambda: flat(counts.all())).groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
 
 
+def discounts(counts) -> tuple[float, ...]:
+    """What is taken off a count of 0, 1, 2, and 3 or more, estimated from the counts of counts (Chen and Goodman)."""
+    n = Counter(min(c, 5) for c in counts)
+    if not n[1] or not n[2]:
+        return 0.0, 0.5, 0.5, 0.5
+    y = n[1] / (n[1] + 2 * n[2])
+    each = (k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3))
+    return 0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(each, 1))
+
+
 class Model:
     """Log-likelihood ratios of words; its size is bounded by the labelled sample and the alphabet."""
 
@@ -134,37 +145,50 @@ class Model:
             for n in range(ORDER, SHARED + 1, -1):  # distinct characters on the left, from the longest down
                 lower: Counter = Counter(g[1:] for g in own if len(g) == n)
                 own.update(lower)
-        self.after = tuple(self._after(own) for own in self.counts)
+        self.off = tuple(self._off(own) for own in self.counts)
+        self.after = tuple(self._after(own, off) for own, off in zip(self.counts, self.off, strict=True))
         self.shared = dict(shared)
-        self.shared_after = self._after(self.shared)
+        self.shared_off = self._off(self.shared)
+        self.shared_after = self._after(self.shared, self.shared_off)
         self.letters = max(1, len({g[-1] for g in self.shared}))
+        self.gate = 0.0
         self.known: dict[str, float] = {}  # words met lately, and before
         self.old: dict[str, float] = {}
         self.pieces: dict[str, float] = {}
 
     @staticmethod
-    def _after(counts):
+    def _off(counts):
+        """length of a piece -> discounts"""
+        by: dict[int, list[int]] = defaultdict(list)
+        for g, n in counts.items():
+            by[len(g)].append(n)
+        return {k: discounts(by[k]) for k in range(1, ORDER + 1)}
+
+    @staticmethod
+    def _after(counts, off):
         """history -> (sum of its counts, mass left to the backoff)"""
         out: dict[str, list[float]] = defaultdict(lambda: [0, 0.0])
         for g, n in counts.items():
             x = out[g[:-1]]
             x[0] += n
-            x[1] += min(n, DISCOUNT)
+            x[1] += off[len(g)][min(n, 3)]
         return dict(out)
 
     def _piece(self, gram: str) -> float:
         """Log-likelihood ratio of the last character of `gram` after those before it."""
         at = len(gram) - 1
         total, mass = self.shared_after.get(gram[at - 1], (0, 0.0))
-        base = (max(self.shared.get(gram[at - 1 :], 0) - DISCOUNT, 0) + (mass or 1) / self.letters) / (total or 1)
+        n = self.shared.get(gram[at - 1 :], 0)
+        base = (n - self.shared_off[SHARED][min(n, 3)] + (mass or 1) / self.letters) / (total or 1)
         both = [base, base]
         for c in (0, 1):
-            counts, after = self.counts[c], self.after[c]
+            counts, after, off = self.counts[c], self.after[c], self.off[c]
             for start in range(at - SHARED, -1, -1):
                 held = after.get(gram[start:at])
                 if held is None:
                     break
-                both[c] = (max(counts.get(gram[start:], 0) - DISCOUNT, 0) + held[1] * both[c]) / held[0]
+                n = counts.get(gram[start:], 0)
+                both[c] = (n - off[at + 1 - start][min(n, 3)] + held[1] * both[c]) / held[0]
         return math.log(both[1]) - math.log(both[0])
 
     def word_ratio(self, word: str) -> float:
@@ -182,27 +206,30 @@ class Model:
                 total += r
         return total
 
-    def ratio(self, text: str) -> tuple[float, float, int]:
-        """Sums of the words' log-likelihood ratios for and against toxic, beyond GATE, and the number of words."""
-        words = words_of(text)
-        more = less = 0.0
+    def ratios(self, text: str) -> list[float]:
+        """Log-likelihood ratio of every word that stands in the text."""
+        out = []
         known = self.known
-        for w in words:
+        for w in words_of(text):
             x = known.get(w)
             if x is None:
                 if len(known) >= WORDS:
                     self.old, self.known = known, {}
                     known = self.known
                 x = self.old.get(w)
-                if x is None:
-                    x = self.word_ratio(w)
-                    x = min(x - GATE, SPAN) if x > GATE else max(x + GATE, -SPAN) if x < -GATE else 0.0
-                known[w] = x
-            if x > 0:
-                more += x
-            else:
-                less -= x
-        return more, less, len(words)
+                known[w] = x = self.word_ratio(w) if x is None else x
+            out.append(x)
+        return out
+
+    def ratio(self, text: str) -> tuple[float, float, int]:
+        """Sums of the words' log-likelihood ratios for and against toxic, beyond the gate, and the number of words."""
+        return beyond(np.array(self.ratios(text)), self.gate)
+
+
+def beyond(ratios: np.ndarray, gate: float) -> tuple[float, float, int]:
+    more = np.clip(ratios - gate, 0, SPAN).sum() if len(ratios) else 0.0
+    less = np.clip(-ratios - gate, 0, SPAN).sum() if len(ratios) else 0.0
+    return float(more), float(less), len(ratios)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -217,6 +244,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int =
     return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
 
 
+def likelihood(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """Log-likelihood of the labels under a curve of fit_logistic."""
+    z = x @ w[:-1] + w[-1]
+    return float(-(weight * np.logaddexp(0, np.where(y > 0, -z, z))).sum())
+
+
 def features(more: float, less: float, n: int) -> tuple[float, ...]:
     """What the curve sees: both sums for each token, and the first in units of its spread and on a log scale."""
     n = max(n, 1)
@@ -234,23 +267,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000):
     numbers = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if set(numbers) != {0, 1}:
         return None
-    size = min(per_class, *numbers.values())
-    limit = F.when(F.col("toxic") == 1, size / numbers[1]).otherwise(size / numbers[0])
+    share = {c: min(1.0, per_class / n) for c, n in numbers.items()}
+    limit = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     sample = known.filter(_share(11) < limit).withColumn("fold", (_share(12) < 0.25).cast("int"))
     train = materialized(docs.join(F.broadcast(sample), "__id").select("toxic", "fold", "text"))  # a bounded sample
     rows = lambda df: list(zip(*df.toArrow().to_pydict().values(), strict=True))
     model = Model(rows(class_counts(train.filter("fold = 0"))), rows(shared_counts(word_counts(docs))))
 
-    def ratios(batch):
+    def sums(batch):
         for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-            yield toxic, *model.ratio(text)
+            found = np.array(model.ratios(text))
+            if len(found):
+                yield toxic, [v for gate in GATES for v in features(*beyond(found, gate))]
 
-    held = rows(arrow_map(train.filter("fold = 1").select("toxic", "text"), ratios, "toxic int, more double, less double, n long"))
-    held = [r for r in held if r[3]]
+    held = rows(arrow_map(train.filter("fold = 1").select("toxic", "text"), sums, "toxic int, x array<double>"))
     if {r[0] for r in held} != {0, 1}:
         return None
-    weight = np.array([numbers[r[0]] / size for r in held])
-    return model, fit_logistic(np.array([features(*r[1:]) for r in held]), np.array([float(r[0]) for r in held]), weight)
+    weight, y = np.array([1 / share[r[0]] for r in held]), np.array([float(r[0]) for r in held])
+    x = np.array([r[1] for r in held]).reshape(len(held), len(GATES), -1)
+    curves = [fit_logistic(x[:, i], y, weight) for i in range(len(GATES))]
+    best = max(range(len(GATES)), key=lambda i: likelihood(curves[i], x[:, i], y, weight))
+    model.gate = GATES[best]
+    return model, curves[best]
 
 
 def _training(labels: DataFrame, id_col: str, folds: int, held_out: int) -> DataFrame:

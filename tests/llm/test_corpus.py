@@ -12,7 +12,7 @@ import corpus_pipeline
 from chronoframe.llm.mixing import mix_sources, sample_mixed
 from chronoframe.llm.neardup import Darts, Shingles, keep_one_of_each, near_duplicates
 from chronoframe.llm.quality import binomial_tail, keep_good, quality_rules, risk_controlled
-from chronoframe.llm.toxicity import drop_toxic, score_toxicity
+from chronoframe.llm.toxicity import Model, discounts, drop_toxic, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -156,6 +156,16 @@ def test_toxicity(spark):
     assert score_toxicity(df.limit(0), known).count() == 0
 
 
+def test_toxicity_rare_words():
+    assert discounts([1] * 60 + [2] * 20 + [3] * 10 + [4] * 5)[1] < 1  # a word met once keeps mass of its own
+    pieces = lambda w: [f"^{w}$"[max(0, i - 6) : i] for i in range(2, len(w) + 3)]
+    common = ["abcd", "bcda", "cdab", "dabc", "aabb"]
+    grams = [(c, g, 40) for c in (0, 1) for w in common for g in pieces(w)] + [(1, g, 2) for g in pieces("zyxz")]
+    shared = [(w[i : i + 2], 1) for w in (f"^{w}$" for w in [*common, "zyxz"]) for i in range(len(w) - 1)]
+    model = Model(grams, shared)
+    assert model.word_ratio("zyxz") > 1 > 0.5 > abs(model.word_ratio("abcd"))
+
+
 def test_keep_good_agrees_with_rules(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     kept = keep_good(docs, labels)
