@@ -245,17 +245,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """Class of every document, one row for each input row: `id_col`, class_id.
-
-    Documents are linked if the Jaccard similarity of their sets of five-word
-    shingles (lower case, white space between words; weighted: multisets) is
-    `threshold` or more; classes are the connected components, equal texts
-    included; class_id is the smallest id of the class. Texts without words,
-    null among them, are linked only to equal ones, null counting as empty. A
-    null id is a class_id only if the class has no other. Repeated rows stay; an
-    empty table gives an empty result; other columns are ignored.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, weighted: bool) -> tuple[DataFrame, DataFrame]:
+    """Per row: id, node; per node: n, label (of its class), class_id, id (the node's smallest)."""
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     signed = materialized(_signed(texts, weighted))
     reps = signed.groupBy("node").agg(F.min("id").alias("id"))
@@ -276,22 +267,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = reps.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    by_node = named.join(smallest, "label").select(F.col("node").alias("n"), "class_id")
-    return signed.select("id", "node").join(by_node, F.col("node") == F.col("n")).select(F.col("id").alias(id_col), "class_id")
+    return signed.select("id", "node"), named.join(smallest, "label").select(F.col("node").alias("n"), "label", "class_id", F.col("id").alias("least"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+    """Class of every document, one row for each input row: `id_col`, class_id.
+
+    Documents are linked if the Jaccard similarity of their sets of five-word
+    shingles (lower case, white space between words; weighted: multisets) is
+    `threshold` or more; classes are the connected components, equal texts
+    included; class_id is the smallest id of the class. Texts without words,
+    null among them, are linked only to equal ones, null counting as empty. A
+    null id is a class_id only if the class has no other. Repeated rows stay; an
+    empty table gives an empty result; other columns are ignored.
+    """
+    signed, by_node = _classes(docs, id_col, text_col, threshold, weighted)
+    return signed.join(by_node, F.col("node") == F.col("n")).select(F.col("id").alias(id_col), "class_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
     """One document of each class, the one of the smallest id, with all its columns.
 
-    Rows without an id stay only where no other row of their class has one.
-    Repeated rows of an id become one.
+    Rows without an id stay only where no other row of their class has one. A row
+    is known by its id and text, so different texts under one id, or without id,
+    are documents of their own; of several texts of the class's smallest id the
+    one of the smallest hash stays. Equal rows become one.
     """
-    classes = materialized(near_duplicates(docs, id_col, text_col, **how))
-    named = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    kept = classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(named.alias("__key"))
-    repeated = kept.groupBy("__key").count().filter("count > 1")
-    out = docs.join(kept.distinct(), named == F.col("__key"), "left_semi")
-    return out if repeated.isEmpty() else out.dropDuplicates([id_col])
+    signed, by_node = _classes(docs, id_col, text_col, threshold, weighted)
+    first = by_node.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "n")).alias("x"))
+    kept = materialized(first.select(F.col("x.n").alias("__node"), F.col("x.least").alias("__id")))
+    node = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+    out = docs.join(kept, (node == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    rows = signed.join(kept, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
+    if rows.groupBy("node").count().filter("count > 1").isEmpty():
+        return out
+    return out.withColumn("__node", node).dropDuplicates(["__node"]).drop("__node")
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

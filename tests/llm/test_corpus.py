@@ -71,6 +71,19 @@ def test_near_duplicates_odd(spark, docs):
     assert keep_one_of_each(df).count() == 2 and near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_without_or_with_repeated_ids(spark):
+    a, b, c = (_words(random.Random(i), 60) for i in range(3))
+    near = " ".join([*a.split()[:-1], "changed"])
+    rows = [(None, "x y z"), (None, "x y z"), (None, "q r s"), (None, None), (5, b), (5, c), (5, c), (7, near), (3, a), (3, "other"), (None, b)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    kept = keep_one_of_each(df)
+    assert kept.columns == df.columns
+    want = [(None, "x y z"), (None, "q r s"), (None, None), (5, b), (5, c), (3, a), (3, "other")]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+    low = spark.createDataFrame([(1, a), (1, near), (2, a)], "doc_id long, text string")
+    assert keep_one_of_each(low).count() == 1
+
+
 def test_darts_estimate_weighted_jaccard():
     darts, s, rng = Darts(512), Shingles(1), random.Random(8)
     for _ in range(6):
