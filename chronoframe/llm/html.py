@@ -13,6 +13,7 @@ are not taken for an article.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,21 @@ MARKS = {
 PAGE_MARKS = {"header", "head", "top"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Elements that end an open p, and those that an end or a new item does not reach across.
+ENDS_P = {
+    "address", "article", "aside", "blockquote", "center", "details", "dialog", "dd", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "ul",
+}
+CELLS = {"table", "td", "th", "caption"}
+ITEMS, BUTTON = CELLS | {"ul", "ol"}, CELLS | {"button"}
+LISTS = CELLS | {"ul", "ol", "dl", "menu", "section", "article", "aside", "blockquote", "main", "form", "nav", "header", "footer", "fieldset", "figure", "details", "body"}
+#: Elements whose end tags may be left out: what a new one ends, and what it does not reach across.
+IMPLIED = {
+    "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, LISTS), "dd": ({"dt", "dd"}, LISTS),
+    "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+}
 SPACED = {"br", "img", "input", "wbr"} - {"wbr"}
 
 
@@ -56,6 +72,52 @@ def _apart(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _reached(stack: list[str], names: set[str], barrier: set[str]) -> int:
+    """Where the innermost of the names stands in the stack; its length if there is none before a barrier."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i] in names:
+            return i
+        if stack[i] in barrier:
+            break
+    return len(stack)
+
+
+class _Open:
+    """The open elements, other than inline ones."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.held: Counter = Counter()
+
+    def push(self, name: str):
+        self.stack.append(name)
+        self.held[name] += 1
+
+    def cut(self, size: int):
+        while len(self.stack) > size:
+            self.held[self.stack.pop()] -= 1
+
+    def left(self, name: str, closing: bool) -> int:
+        """How many stay open at a tag."""
+        stack, held = self.stack, self.held
+        if closing:
+            if not held[name]:
+                return len(stack)
+            if name in ("table", "body", "html"):
+                return _reached(stack, {name}, set())
+            if name in IMPLIED and name not in ("li", "dt", "dd"):
+                return _reached(stack, {name}, {"table", "select"})
+            return _reached(stack, {name}, ITEMS if name == "li" else CELLS)
+        left = len(stack)
+        if held["p"] and name in ENDS_P:
+            left = _reached(stack, {"p"}, BUTTON)
+        if name in IMPLIED:
+            names, barrier = IMPLIED[name]
+            if any(held[n] for n in names):
+                left = min(left, _reached(stack, names, barrier))
+        return left
+
+
 def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
     """The page's lines: text, whether it stands in a marked article, characters inside links."""
     lines: list[tuple[str, bool, int]] = []
@@ -63,7 +125,8 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
     linked = 0
     article = 0
     in_link = False
-    apart, depth = "", 0  # the container that is being passed over, and how often its name is open
+    elements = _Open()
+    apart, base = "", 0  # the container that is being passed over, and where it stands among the open elements
 
     def flush():
         nonlocal linked
@@ -90,13 +153,22 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
             continue
         name, closing, attributes = name.lower(), bool(tag[1] or tag[4]), tag[3] or tag[6] or ""
         if apart:
-            if name in RAW and not closing and not attributes.endswith("/"):
-                at = _past(html, name, at)
-            elif name == apart:
-                depth += -1 if closing else not attributes.endswith("/")
-                if depth <= 0:
-                    apart = ""
-            continue
+            if name in RAW:
+                if not closing and not attributes.endswith("/"):
+                    at = _past(html, name, at)
+                continue
+            if name in VOID and name != "hr" or name in INLINE and name != apart:
+                continue
+            left = elements.left(name, closing)
+            if left > base:  # still inside
+                elements.cut(left)
+                if not closing and name not in VOID and not attributes.endswith("/"):
+                    elements.push(name)
+                continue
+            elements.cut(base)
+            own, apart = closing and name == apart, ""
+            if own:
+                continue
         if name in RAW:
             if not closing and not attributes.endswith("/"):
                 at = _past(html, name, at)
@@ -110,18 +182,22 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
                 in_link = not closing
             if closing or name in VOID or not attributes or not _apart(name, attributes, article > 0):
                 continue
-            apart, depth = name, 1
+            apart, base = name, len(elements.stack)
+            elements.push(name)
             continue
         flush()
         in_link = False
+        elements.cut(elements.left(name, closing))
         if not closing and name not in VOID and _apart(name, attributes, article > 0):
-            apart, depth = name, 1
+            apart, base = name, len(elements.stack)
             if not article:
                 lines.extend([("", False, 0)] * window)
         elif name in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
             if not article:
                 lines.extend([("", False, 0)] * window)
+        if not closing and name not in VOID:
+            elements.push(name)
     flush()
     return lines
 

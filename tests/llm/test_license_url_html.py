@@ -90,6 +90,20 @@ def test_html_without_article():
     assert main_text("<p>tiny</p>") == ""
 
 
+@pytest.mark.parametrize("apart", ["<p class=notice>Gone", "<ul><li class=related>Gone<li>Kept item</ul>", "<p>Kept item<span class=ad>Gone", "<div><div class=ad>Gone<div>Gone</div></div></div>", "<section><div class=ad>Gone<p>Gone</section>", "<dl><dd class=share>Gone<dt>Kept item</dl>", "<table><tr><td class=promo>Gone<td>Kept item<tr class=ad><td>Gone</table>"])
+def test_html_optional_end_tags(apart):
+    text = main_text(f"<body><article><h1>Title</h1>{apart}<p>First.<p>Last.</article><p>Outside</p></body>")
+    kept = ["Kept item"] if "Kept" in apart else []
+    assert text.split("\n\n") == ["Title", *kept, "First.", "Last."]
+
+
+def test_html_unclosed_container_ends_with_its_parent():
+    page = "<body><main><div>One<div class=ad>Gone<ul><li>Gone</div></div><article>Two<div class=ad>Gone</article><p>Three</main></body>"
+    assert main_text(page) == "One\n\nTwo\n\nThree"
+    nested = "<article><div><div><p class=notice>Gone</div><div class=ad>Gone<p>Gone</div>Kept</div>Last</article>"
+    assert main_text(nested) == "Kept\n\nLast"
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 1)], "page_id long, url string, html string, n_chars int")
     got = Counter((r["page_id"], r["url"], r["n_chars"]) for r in extract_main_text(df).collect())
