@@ -1,13 +1,15 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped so that every block of the page becomes a line. Text inside
-menus, headers, footers, forms and the like is not text of the page: such a
-container leaves only empty lines behind. Text lengths are summed over a window
-of `window` lines sliding down the page. Where the sum surges from nothing, text
-begins; where it dives to nothing, it ends. What lies between is kept whole,
-short lines too. A page that marks its article is read only there; elsewhere a
-stretch must reach `surge` characters in a window, so that scattered short lines
-are not taken for an article.
+menus, headers, footers, forms and the like is not text of the page. A menu,
+header or footer of the page itself leaves empty lines behind; other such
+containers leave nothing, so what they part stays together. Text lengths are
+summed over a window of `window` lines sliding down the page. Where the sum
+surges from nothing, text begins; where it dives to nothing, it ends. A page that
+marks its article is read only there, and wholly. Elsewhere a stretch that
+reaches `surge` characters in a window is text, and lines that are mostly links
+begin or end none; from the first such stretch's first line to the last one's
+last, every line is kept, short and linked ones too.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "noframes", "xmp", "template", "svg", "math", "object"}
 #: Elements that are never part of the article.
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "datalist"}
+#: Those that part stretches of text where no other element than body encloses them.
+PARTING = {"nav", "header", "footer", "menu"}
 #: Words of a class, id or role that mark a container apart from the article.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
@@ -190,7 +194,7 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
         elements.cut(elements.left(name, closing))
         if not closing and name not in VOID and _apart(name, attributes, article > 0):
             apart, base = name, len(elements.stack)
-            if not article:
+            if not article and name in PARTING and set(elements.stack) <= {"html", "body"}:
                 lines.extend([("", False, 0)] * window)
         elif name in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
@@ -210,13 +214,14 @@ def _past(html: str, name: str, at: int) -> int:
 def main_text(html: str, window: int = 3, surge: int = 80) -> str:
     """The article's blocks in page order, joined by two newlines; empty if none."""
     lines = lines_of(html, window)
-    marked = any(a and t for t, a, _ in lines)
-    lengths = [len(t) if (a if marked else 2 * linked < len(t)) else 0 for t, a, linked in lines]
+    if article := [t for t, a, _ in lines if a and t]:
+        return "\n\n".join(article)
+    lengths = [len(t) if 2 * linked < len(t) else 0 for t, _, linked in lines]
     sums, total = [0] * len(lines), 0
     for i in range(len(lines) - 1, -1, -1):
         total += lengths[i] - (lengths[i + window] if i + window < len(lines) else 0)
         sums[i] = total
-    kept: list[str] = []
+    first, last = len(lines), 0
     i = 0
     while i < len(lines):
         if not sums[i] or not lengths[i]:
@@ -226,10 +231,10 @@ def main_text(html: str, window: int = 3, surge: int = 80) -> str:
         while j < len(lines) and sums[j]:  # from the surge to the dive
             peak = max(peak, sums[j])
             j += 1
-        if marked or peak >= surge:
-            kept.extend(lines[k][0] for k in range(i, j) if lengths[k])
+        if peak >= surge:
+            first, last = min(first, i), j
         i = j
-    return "\n\n".join(kept)
+    return "\n\n".join(t for t, _, _ in lines[first:last] if t)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), window: int = 3, surge: int = 80) -> DataFrame:

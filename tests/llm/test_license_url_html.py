@@ -104,6 +104,17 @@ def test_html_unclosed_container_ends_with_its_parent():
     assert main_text(nested) == "Kept\n\nLast"
 
 
+def test_html_without_article_keeps_short_and_linked_blocks():
+    menu = "<ul>" + "<li><a href=x>Menu item of some length</a></li>" * 6 + "</ul>"
+    links = "".join(f"<p><a href=x>Source number {i} of the article</a></p>" for i in range(5))
+    long = f"<p>{'word ' * 20}</p>"
+    page = f"<body><nav>n</nav>{menu}<div id=story><h1>Title</h1><div class=ad>Buy</div>{long}{links}<p>Hm.</p><aside>Gone</aside>{long}<div class=share>Gone</div><p>End.</p></div><footer>f</footer></body>"
+    want = ["Title", ("word " * 20).strip(), *(f"Source number {i} of the article" for i in range(5)), "Hm.", ("word " * 20).strip(), "End."]
+    assert main_text(page).split("\n\n") == want
+    short = f"<body><div><h1>Title</h1><div class=ad>Buy</div><p>{'word ' * 9}</p><aside>Gone</aside><p>{'word ' * 9}</p></div></body>"
+    assert main_text(short).startswith("Title") and main_text(short).count("word") == 18
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 1)], "page_id long, url string, html string, n_chars int")
     got = Counter((r["page_id"], r["url"], r["n_chars"]) for r in extract_main_text(df).collect())
