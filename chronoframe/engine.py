@@ -7,6 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoframe.errors import QueryError
+from chronoframe.functions import codec
 from chronoframe.operators import metadata
 from chronoframe.plans.compiler import Compiler
 
@@ -54,8 +55,18 @@ class Engine:
     def label_values(self, label: str) -> DataFrame:
         return metadata.label_values(self.source.samples(), label)
 
-    def stats(self) -> DataFrame:
-        return metadata.stats(self.source.samples())
+    def stats(self, block_ms: int | None = None) -> DataFrame:
+        """Counts and sizes.
+
+        With a width of blocks: bytes of the chunks encoded by it, number of
+        blocks, and bytes of the files of a source that has a stored layout.
+        Without, nothing counts as packed and these sizes are 0.
+        """
+        df = self.source.samples()
+        if block_ms is None:
+            return metadata.stats(df)
+        disk = self.source.disk_bytes() if hasattr(self.source, "disk_bytes") else 0
+        return metadata.storage_stats(df, codec.encode_chunks(df, block_ms), block_ms, disk)
 
     def blocks(self, width_ms: int) -> DataFrame:
         return metadata.blocks(self.source.samples(), width_ms)

@@ -49,6 +49,16 @@ def stats(df: DataFrame, chunk_bytes: int = 0, disk_bytes: int = 0) -> DataFrame
     return out.select("*", raw.alias("raw_bytes"), F.lit(chunk_bytes).cast("long").alias("chunk_bytes"), F.lit(disk_bytes).cast("long").alias("disk_bytes"), ratio(raw, F.lit(chunk_bytes)).alias("compression_ratio"))
 
 
+def storage_stats(df: DataFrame, chunks: DataFrame, width_ms: int, disk_bytes: int = 0) -> DataFrame:
+    """stats with the real size of the encoded chunks (`codec.encode_chunks`), the number of blocks, and what the stored layout takes."""
+    counted = stats(df).drop("chunk_bytes", "disk_bytes", "compression_ratio")
+    packed = chunks.agg(F.coalesce(F.sum(F.length("chunk").cast("long")), F.lit(0).cast("long")).alias("chunk_bytes"))
+    own = df.agg(F.countDistinct(F.expr(f"ts div {int(width_ms)}")).alias("blocks"))
+    # each is one row
+    out = counted.join(F.broadcast(packed)).join(F.broadcast(own)).withColumn("disk_bytes", F.lit(disk_bytes).cast("long"))
+    return out.withColumn("compression_ratio", ratio(F.col("raw_bytes"), F.col("chunk_bytes")))
+
+
 def ratio(raw: Column, packed: Column) -> Column:
     """raw / packed; 0 if nothing is packed."""
     return F.coalesce(F.try_divide(raw.cast("double"), packed), F.lit(0.0))

@@ -272,7 +272,7 @@ def _generated(spark, d):
 
 @_query("exposition")
 def _exposition(spark, d):
-    return output.exposition(_stats(spark, d))
+    return output.exposition(Engine(tables.events_raw(spark, d)).stats(DAY))
 
 
 def queries():

@@ -54,6 +54,11 @@ class Store:
             rows = rows.join(self.series().filter((F.col("name") == name) & all_of(matchers)).select("series_key"), "series_key", "left_semi")
         return rows.select(*[c.split()[0] for c in SAMPLES.split(", ")])
 
+    def disk_bytes(self) -> int:
+        """Bytes of the stored layout's files."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def expire(self, now: int, keep_ms: int) -> list[int]:
         """Remove whole days that end before now - keep_ms; returns them."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

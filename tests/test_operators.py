@@ -26,6 +26,20 @@ def test_rollup(make):
     assert rollup.rollup(make([("m", {}, -1, 1), ("m", {}, 1, 2)]), 60_000).count() == 1  # truncates towards zero
 
 
+def test_storage_stats(make, spark, tmp_path):
+    df = make([("m", {"i": str(i % 3)}, 40_000_000 * i, (i * 37) % 101) for i in range(50)])
+    chunks = codec.encode_chunks(df, 86_400_000).collect()
+    got = Engine(df).stats(86_400_000).first()
+    size = sum(len(r["chunk"]) for r in chunks)
+    assert (got["samples"], got["series"], got["raw_bytes"], got["chunk_bytes"], got["disk_bytes"]) == (50, 3, 800, size, 0)
+    assert got["blocks"] == len({40_000_000 * i // 86_400_000 for i in range(50)}) and got["compression_ratio"] == pytest.approx(800 / size)
+    store.write(df, str(tmp_path))
+    files = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file() and not f.name.endswith(".crc"))
+    assert files > 0 and 0.9 * files <= Engine(store.Store(spark, str(tmp_path))).stats(86_400_000).first()["disk_bytes"] <= 1.1 * files
+    empty = Engine(df.limit(0)).stats(86_400_000).first()
+    assert (empty["chunk_bytes"], empty["blocks"], empty["compression_ratio"]) == (0, 0, 0)
+
+
 def test_cascade_equals_direct(make):
     df = make([("m", {"i": str(i % 3)}, 7001 * i, (i * 37) % 101) for i in range(500)])
     a = rollup.cascade(rollup.rollup(df, 60_000), 3_600_000).orderBy("series_key", "ts").collect()
