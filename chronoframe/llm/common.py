@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: very long texts must not meet in thousands.
-BATCH_ROWS = 512
+#: Rows and bytes that are turned into Python objects at a time: very long texts must not meet in thousands.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]], schema: str, batch_rows: int = BATCH_ROWS, finish: Callable[[], Iterable[tuple]] = tuple) -> DataFrame:
     """mapInArrow where `rows` turns one batch (column name -> Python list) into tuples.
 
-    Input is handed on in slices of `batch_rows` rows and output leaves in slices
-    of BATCH_ROWS, so Python holds one Arrow batch and a slice of either.
-    `finish` gives further rows when a partition is through.
+    Input is handed on in slices of `batch_rows` rows, fewer where they hold more
+    than BATCH_BYTES, and output leaves in slices of BATCH_ROWS. So Python holds
+    one Arrow batch, which Spark itself bounds in rows and bytes, and a slice of
+    either. `finish` gives further rows when a partition is through.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -34,8 +34,9 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]],
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch_rows <= BATCH_ROWS:
             for batch in batches:
-                for at in range(0, batch.num_rows, batch_rows):
-                    yield batch.slice(at, batch_rows)
+                step = max(1, min(batch_rows, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+                for at in range(0, batch.num_rows, step):
+                    yield batch.slice(at, step)
             return
         held, n = [], 0
         for batch in batches:

@@ -1,268 +1,335 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-One model is fitted to toxic and one to ordinary labelled documents. Each spells the words of a text: a character is
-predicted from up to ORDER - 1 characters before it in its word,
-
-    p(x | h) = (c(h x) - D(c(h x)) + M(h) * p(x | h without its first)) / c(h)
-
-with the class's counts c, discounts D estimated from the counts of counts of
-each order, below the count itself, and the mass M(h) that they leave; below the longest
-history and except at a word's start, counts are of distinct characters on the
-left. Histories that a class never saw back off at once; from one character on,
-both classes share counts taken from the vocabulary of the whole corpus. So rare
-and unseen words are judged by the stems they share with others.
-
-A word's log-likelihood ratio within +-gate counts as none, most of it being
-chance; what lies beyond counts up to SPAN. A document's score is these ratios'
-sum for each word, turned into a probability by a logistic curve. Gate and curve
-are those under which labelled documents that the counts don't hold are likeliest.
+One model is fitted to toxic and one to ordinary labelled documents. Each spells
+the words of a text: a character x is predicted from the history h, up to ORDER - 1
+characters before it in its word,
+
+    p(x | h) = (c(h x) - D(c(h x)) + (M(h) + PULL) * shared(x | h)) / (c(h) + PULL)
+
+with the class's counts c (documents that hold a word), discounts D estimated from
+the counts of counts, and the mass M(h) that they leave. Both classes back off to
+one shared model: Kneser-Ney of the orders ORDER down to 2 over the vocabulary of
+the whole corpus, where each distinct word counts once, so that a frequent word
+weighs no more than its type. PULL such counts are mixed into every class history.
+So words, rare or unseen, of which neither class knows more than chance have the
+same likelihood under both, and new words are judged by stems that they share.
+
+A word's two log-likelihoods differ by chance, too: only a ratio of more than
+e**GATE to one counts as evidence. The document's statistic is the difference of
+its length-normalised log-likelihoods, the sum of such ratios for each word; a
+logistic curve, fitted to labelled documents that the counts did not see and drawn
+to a prior curve where they are few, turns it into a probability.
+
+Grams are packed into 64-bit integers and the fitted model is four sorted arrays,
+bounded by the labelled sample.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm.common import arrow_map, materialized, table, text_or_empty
 
 WORD = re.compile(r"\w+")
-DIGIT = re.compile(r"\d")
-ORDER, SHARED = 6, 2
-#: Gates among which the labelled documents choose.
-GATES = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
-SPAN = 6.0
-#: Distinct words that a task holds before it hands its counts on.
+ORDER, PULL, GATE = 6, 20.0, 3.0
+#: Logistic curve before any label is seen, slope for a unit of evidence a word and offset, and how many documents it weighs.
+PRIOR_CURVE, PRIOR_WEIGHT = (60.0, -3.0), 2.0
+#: Distinct words, or grams, that a task holds before it hands its counts on.
 HELD = 200_000
-#: Words, twice, and pieces of words whose ratios a task keeps.
-WORDS, PIECES = 250_000, 800_000
+#: Words whose ratios a task keeps.
+KNOWN = 100_000
 #: Longer words are spelled in parts of this length.
 PART = 48
+#: Bits of a character; the marks of a word's start and end are 1 and 2.
+BITS, START, END = 10, 1, 2
+I = np.int64
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def spelled(word: str) -> str:
-    """The word between marks of its start and end; digits are one, and characters beyond the Latin ones fold to 256 others."""
-    if not word.isalpha():
-        word = DIGIT.sub("0", word)
-    if not word.isascii():
-        word = "".join([c if c < "\u0250" else chr(0x250 + ord(c) % 256) for c in word])
-    return f"^{word}$"
-
-
 def parts_of(word: str) -> list[str]:
     return [word] if len(word) <= PART else [word[i : i + PART] for i in range(0, len(word), PART)]
 
 
-def _share(seed: int):
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("__id")), F.lit(1 << 20)) / (1 << 20)
+def _codes(text: str) -> np.ndarray:
+    """A code below 2**BITS for each character: digits are one, and characters beyond the Latin ones fold to 256 others."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(I)
+    c = np.where((c >= 48) & (c <= 57), 48, c)
+    return np.where(c < 0x250, c, 0x250 + c % 256)
+
+
+def spell(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words' parts between their marks, each code's place in its part, and its word's number."""
+    parts, owner = [], []
+    for i, w in enumerate(words):
+        for p in parts_of(w):
+            parts.append(p)
+            owner.append(i)
+    lengths = np.array([len(p) + 2 for p in parts], I)
+    starts = np.cumsum(lengths) - lengths
+    codes = np.empty(int(lengths.sum()), I)
+    inner = np.ones(len(codes), bool)
+    codes[starts], codes[starts + lengths - 1] = START, END
+    inner[starts] = inner[starts + lengths - 1] = False
+    codes[inner] = _codes("".join(parts))
+    return codes, np.arange(len(codes), dtype=I) - np.repeat(starts, lengths), np.repeat(np.array(owner, I), lengths)
 
 
-class _Counts:
-    """Counts of one partition, handed on when they grow large."""
+def grams(codes: np.ndarray, place: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed grams of up to `order` characters that end at each character but a part's first, and where they end."""
+    out = np.zeros(len(codes), I)
+    for back in range(order - 1, -1, -1):
+        before = np.concatenate([np.zeros(back, I), codes[: len(codes) - back]]) if back else codes
+        out = np.where(place >= back, out << BITS | before, out)
+    at = np.flatnonzero(place > 0)
+    return out[at], at
 
-    def __init__(self):
-        self.seen: Counter = Counter()
 
-    def add(self, items):
-        self.seen.update(items)
-        if len(self.seen) >= HELD:
-            yield from self.all()
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, where = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(where, weights=n, minlength=len(distinct)).astype(I)
 
-    def all(self):
-        out = list(self.seen.items())
-        self.seen.clear()
-        yield from out
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key among the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), I), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """Frequency of every word of the corpus: word, n. A row for each distinct word, however many."""
-    counts = _Counts()
+    counts: Counter = Counter()
+
+    def flushed():
+        out = list(counts.items())
+        counts.clear()
+        return out
 
     def rows(batch):
         for text in batch["text"]:
-            yield from counts.add(words_of(text))
+            counts.update(words_of(text))
+            if len(counts) >= HELD:
+                yield from flushed()
 
-    return arrow_map(docs.select("text"), rows, "word string, n long", finish=counts.all).groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select("text"), rows, "word string, n long", finish=flushed).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shared_counts(words: DataFrame) -> DataFrame:
-    """Distinct words of the corpus in which two characters stand together: gram, n."""
-    counts = _Counts()
+def _counted(df: DataFrame, found, keys: tuple[str, ...]) -> DataFrame:
+    """Sums of what `found` gives for each batch, (packed key, n) as arrays for each value of the leading keys.
+
+    found: batch -> iterable of (leading values, keys, n). A task sums before it hands on.
+    """
+    held: dict[tuple, list] = {}
+
+    def flushed():
+        for lead, parts in held.items():
+            k, n = _sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            for a, b in zip(k.tolist(), n.tolist(), strict=True):
+                yield (*lead, a, b)
+        held.clear()
 
     def rows(batch):
-        for word in batch["word"]:
-            for part in parts_of(word):
-                x = spelled(part)
-                yield from counts.add({x[i : i + SHARED] for i in range(len(x) - SHARED + 1)})
+        for lead, k, n in found(batch):
+            parts = held.setdefault(lead, [])
+            parts.append(_sums(k, n))
+            if sum(len(p[0]) for p in parts) > 8 * HELD:
+                parts[:] = [_sums(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))]
+                if len(parts[0][0]) > 4 * HELD:
+                    yield from flushed()
 
-    return arrow_map(words.select("word"), rows, "gram string, n long", finish=counts.all).groupBy("gram").agg(F.sum("n").alias("n"))
+    schema = ", ".join([*(f"{k} int" for k in keys), "gram long", "n long"])
+    return arrow_map(df, rows, schema, batch_rows=8192, finish=flushed).groupBy(*keys, "gram").agg(F.sum("n").alias("n"))
 
 
 def class_counts(train: DataFrame) -> DataFrame:
-    """Documents of each class that hold a word, summed over the word's pieces of ORDER characters and its beginnings: toxic, gram, n."""
-    counts = _Counts()
+    """Documents of each class and fold that hold a word, summed over the word's longest grams: toxic, fold, gram, n."""
 
-    def flat(items):
-        return ((c, g, n) for (c, g), n in items)
+    def found(batch):
+        words: dict[tuple, Counter] = {}
+        for toxic, fold, text in zip(batch["toxic"], batch["fold"], batch["text"], strict=True):
+            words.setdefault((toxic, fold), Counter()).update(set(words_of(text)))
+        for lead, counts in words.items():
+            if counts:
+                codes, place, owner = spell(list(counts))
+                g, at = grams(codes, place, ORDER)
+                yield lead, g, np.array(list(counts.values()), I)[owner[at]]
 
-    def rows(batch):
-        for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-            for word in set(words_of(text)):
-                for part in parts_of(word):
-                    x = spelled(part)
-                    yield from flat(counts.add([(toxic, x[max(0, i - ORDER) : i]) for i in range(2, len(x) + 1)]))
+    return _counted(train.select("toxic", "fold", "text"), found, ("toxic", "fold"))
+
+
+def histories(top: np.ndarray) -> np.ndarray:
+    """Packed histories of the grams and of all their endings, sorted."""
+    out, h = [], top >> BITS
+    for n in range(ORDER - 1, 0, -1):
+        out.append(h[h > 0] & ((1 << BITS * n) - 1))
+    return np.unique(np.concatenate(out))
+
+
+def shared_counts(words: DataFrame, wanted) -> DataFrame:
+    """Distinct words of the corpus that hold a gram, for all grams after one of the `wanted` histories (a broadcast sorted array): gram, n."""
+
+    def found(batch):
+        if not batch["word"]:
+            return
+        codes, place, _ = spell(batch["word"])
+        for order in range(2, ORDER + 1):
+            g, at = grams(codes, place, order)
+            if order > 2:  # shorter ones at a word's start have been counted
+                g = g[place[at] >= order - 1]
+            g = g[_find(wanted.value, g >> BITS)[1]]
+            yield (), g, np.ones(len(g), I)
 
-    return arrow_map(train.select("toxic", "text"), rows, "toxic int, gram string, n long", finish=lambda: flat(counts.all())).groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+    return _counted(words.select("word"), found, ())
 
 
-def discounts(counts) -> tuple[float, ...]:
+def discounts(counts: np.ndarray) -> np.ndarray:
     """What is taken off a count of 0, 1, 2, and 3 or more, estimated from the counts of counts (Chen and Goodman)."""
-    n = Counter(min(c, 5) for c in counts)
+    n = np.bincount(np.minimum(counts, 5), minlength=6)[:6]
     if not n[1] or not n[2]:
-        return 0.0, 0.5, 0.5, 0.5
+        return np.array([0.0, 0.5, 0.5, 0.5])
     y = n[1] / (n[1] + 2 * n[2])
-    each = (k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3))
-    return 0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(each, 1))
+    each = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.5 * k for k in (1, 2, 3)]
+    return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(each, 1))])
 
 
-class Model:
-    """Log-likelihood ratios of words; its size is bounded by the labelled sample and the alphabet."""
-
-    def __init__(self, grams, shared):
-        """grams: (toxic, gram, n) as class_counts gives them; shared: (gram, n) as shared_counts does."""
-        self.counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-        for c, g, n in grams:
-            self.counts[c][g] = self.counts[c].get(g, 0) + n
-        for own in self.counts:
-            for n in range(ORDER, SHARED + 1, -1):  # distinct characters on the left, from the longest down
-                lower: Counter = Counter(g[1:] for g in own if len(g) == n)
-                own.update(lower)
-        self.off = tuple(self._off(own) for own in self.counts)
-        self.after = tuple(self._after(own, off) for own, off in zip(self.counts, self.off, strict=True))
-        self.shared = dict(shared)
-        self.shared_off = self._off(self.shared)
-        self.shared_after = self._after(self.shared, self.shared_off)
-        self.letters = max(1, len({g[-1] for g in self.shared}))
-        self.gate = 0.0
-        self.known: dict[str, float] = {}  # words met lately, and before
-        self.old: dict[str, float] = {}
-        self.pieces: dict[str, float] = {}
-
-    @staticmethod
-    def _off(counts):
-        """length of a piece -> discounts"""
-        by: dict[int, list[int]] = defaultdict(list)
-        for g, n in counts.items():
-            by[len(g)].append(n)
-        return {k: discounts(by[k]) for k in range(1, ORDER + 1)}
-
-    @staticmethod
-    def _after(counts, off):
-        """history -> (sum of its counts, mass left to the backoff)"""
-        out: dict[str, list[float]] = defaultdict(lambda: [0, 0.0])
-        for g, n in counts.items():
-            x = out[g[:-1]]
-            x[0] += n
-            x[1] += off[len(g)][min(n, 3)]
-        return dict(out)
-
-    def _piece(self, gram: str) -> float:
-        """Log-likelihood ratio of the last character of `gram` after those before it."""
-        at = len(gram) - 1
-        total, mass = self.shared_after.get(gram[at - 1], (0, 0.0))
-        n = self.shared.get(gram[at - 1 :], 0)
-        base = (n - self.shared_off[SHARED][min(n, 3)] + (mass or 1) / self.letters) / (total or 1)
-        both = [base, base]
-        for c in (0, 1):
-            counts, after, off = self.counts[c], self.after[c], self.off[c]
-            for start in range(at - SHARED, -1, -1):
-                held = after.get(gram[start:at])
-                if held is None:
-                    break
-                n = counts.get(gram[start:], 0)
-                both[c] = (n - off[at + 1 - start][min(n, 3)] + held[1] * both[c]) / held[0]
-        return math.log(both[1]) - math.log(both[0])
-
-    def word_ratio(self, word: str) -> float:
-        total = 0.0
-        pieces = self.pieces
-        for part in parts_of(word):
-            x = spelled(part)
-            for i in range(2, len(x) + 1):
-                gram = x[max(0, i - ORDER) : i]
-                r = pieces.get(gram)
-                if r is None:
-                    if len(pieces) >= PIECES:
-                        pieces.clear()
-                    r = pieces[gram] = self._piece(gram)
-                total += r
-        return total
-
-    def ratios(self, text: str) -> list[float]:
-        """Log-likelihood ratio of every word that stands in the text."""
-        out = []
-        known = self.known
-        for w in words_of(text):
-            x = known.get(w)
-            if x is None:
-                if len(known) >= WORDS:
-                    self.old, self.known = known, {}
-                    known = self.known
-                x = self.old.get(w)
-                known[w] = x = self.word_ratio(w) if x is None else x
-            out.append(x)
-        return out
+class _Level:
+    """Counts of one set of grams: sorted grams, counts less discounts, and their histories' totals and masses left."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        off = discounts(n)[np.minimum(n, 3)]
+        self.keys, self.less = keys, n - off
+        self.before, where = np.unique(keys >> BITS, return_inverse=True)
+        self.total = np.bincount(where, weights=n, minlength=len(self.before))
+        self.mass = np.bincount(where, weights=off, minlength=len(self.before))
 
-    def ratio(self, text: str) -> tuple[float, float, int]:
-        """Sums of the words' log-likelihood ratios for and against toxic, beyond the gate, and the number of words."""
-        return beyond(np.array(self.ratios(text)), self.gate)
+    def of(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Discounted count of each gram, total and mass of its history; zeros where unseen."""
+        at, there = _find(self.keys, g)
+        less = np.where(there, self.less[at], 0.0) if len(self.keys) else np.zeros(len(g))
+        return (less, *self.history(g >> BITS))
 
+    def history(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = _find(self.before, h)
+        if not len(self.before):
+            return np.zeros(len(h)), np.zeros(len(h))
+        return np.where(there, self.total[at], 0.0), np.where(there, self.mass[at], 0.0)
 
-def beyond(ratios: np.ndarray, gate: float) -> tuple[float, float, int]:
-    more = np.clip(ratios - gate, 0, SPAN).sum() if len(ratios) else 0.0
-    less = np.clip(-ratios - gate, 0, SPAN).sum() if len(ratios) else 0.0
-    return float(more), float(less), len(ratios)
 
+def _length(g: np.ndarray) -> np.ndarray:
+    """Characters of packed grams."""
+    return sum((g >> BITS * k > 0).astype(I) for k in range(ORDER))
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic curve on standardised columns of x and a constant, by damped Newton steps."""
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(a.shape[1])
+
+def shared_likelihood(g: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Probability of the last character of each gram after the others under the shared model."""
+    keys, n = _sums(keys, n)
+    lengths, mine = _length(keys), _length(g)
+    p = np.full(len(g), 1.0 / max(1, len(np.unique(keys & ((1 << BITS) - 1)))))
+    for order in range(2, ORDER + 1):
+        level = _Level(keys[lengths == order], n[lengths == order])
+        less, total, mass = level.of(g & ((1 << BITS * order) - 1))
+        p = np.where((mine >= order) & (total > 0), (less + mass * p) / np.maximum(total, 1), p)
+    return p
+
+
+class Model:
+    """Log-likelihood ratios of words."""
+
+    def __init__(self, classes: list[tuple[np.ndarray, np.ndarray]], shared: tuple[np.ndarray, np.ndarray]):
+        """classes: (grams, counts) of the ordinary and of the toxic documents; shared: as shared_counts gives them."""
+        levels = [_Level(*_sums(*c)) for c in classes]
+        self.keys = np.unique(np.concatenate([x.keys for x in levels]))
+        q = shared_likelihood(self.keys, *shared)
+        log = []
+        for x in levels:
+            less, total, mass = x.of(self.keys)
+            log.append(np.log((less + (mass + PULL) * q) / (total + PULL)))
+        self.ratio = (log[1] - log[0]).astype(np.float32)
+        self.before = np.unique(self.keys >> BITS)
+        log = []
+        for x in levels:
+            total, mass = x.history(self.before)
+            log.append(np.log((mass + PULL) / (total + PULL)))
+        self.back = (log[1] - log[0]).astype(np.float32)
+
+    def word_ratios(self, words: list[str]) -> np.ndarray:
+        """Log-likelihood ratio of each word, toxic against ordinary."""
+        codes, place, owner = spell(words)
+        g, at = grams(codes, place, ORDER)
+        where, there = _find(self.keys, g)
+        h, back = _find(self.before, g >> BITS)
+        r = np.where(there, self.ratio[where], np.where(back, self.back[h], 0.0)) if len(self.keys) else np.zeros(len(g))
+        return np.bincount(owner[at], weights=r, minlength=len(words))
+
+
+class Scorer:
+    """Statistics of texts under a model; keeps the ratios of words it met lately, until `clear`."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, float] = {}
+
+    def clear(self):
+        self.known.clear()
+
+    def evidence(self, texts: list[str]) -> list[float]:
+        """Sum of the words' ratios beyond the gate for each word of the text."""
+        found = [words_of(t) for t in texts]
+        if len(self.known) > KNOWN:
+            self.clear()
+        known = self.known
+        new = list({w for ws in found for w in ws if w not in known})
+        for at in range(0, len(new), 65536):
+            part = new[at : at + 65536]
+            known.update(zip(part, self.model.word_ratios(part).tolist(), strict=True))
+        out = []
+        for ws in found:
+            r = [x for x in map(known.__getitem__, ws) if abs(x) > GATE]
+            out.append(sum(r) / len(ws) if r else 0.0)
+        return out
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """Slope and offset of the logistic curve that is likeliest, by damped Newton steps; the prior counts as PRIOR_WEIGHT documents."""
+    prior = np.array(PRIOR_CURVE)
+    scale = np.array([prior[0], 1.0])  # slopes are measured in that of the prior
+    a = np.column_stack([x * prior[0], np.ones(len(x))])
+    w = prior / scale
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * weight.sum() / len(x) * np.eye(a.shape[1])
-        w = w + np.clip(np.linalg.solve(h, a.T @ (weight * (y - p)) - 1e-3 * weight.sum() / len(x) * w), -2, 2)
-    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum())
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + PRIOR_WEIGHT * np.eye(2)
+        w = w + np.clip(np.linalg.solve(h, a.T @ (weight * (y - p)) - PRIOR_WEIGHT * (w - prior / scale)), -1, 1)
+    return float(max(w[0], 0.0) * scale[0]), float(w[1])
 
 
-def likelihood(w: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """Log-likelihood of the labels under a curve of fit_logistic."""
-    z = x @ w[:-1] + w[-1]
-    return float(-(weight * np.logaddexp(0, np.where(y > 0, -z, z))).sum())
+def _share(seed: int):
+    return F.pmod(F.xxhash64(F.lit(seed), F.col("__id")), F.lit(1 << 20)) / (1 << 20)
 
 
-def features(more: float, less: float, n: int) -> tuple[float, ...]:
-    """What the curve sees: both sums for each token, and the first in units of its spread and on a log scale."""
-    n = max(n, 1)
-    return more / n, more / math.sqrt(n), math.log1p(more), less / n
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    return [c.to_numpy() for c in df.toArrow().columns]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000):
     """Model and curve, or None without labels of both classes.
 
     docs: __id, text; labels: __id, toxic. At most about `per_class` labelled
-    documents of each class are used, chosen by a hash of their ids: three in four
-    give counts, the others the curve. The shared counts hold the whole corpus.
+    documents of each class are used, chosen by a hash of their ids. Counts of
+    three in four of them give a first model, on which the others fit the curve;
+    the model that is used counts all. What reaches the driver is bounded by the
+    labelled sample; the shared counts behind it hold the whole corpus.
     """
+    spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("__id").isNotNull()).groupBy("__id").agg(F.max("toxic").cast("int").alias("toxic"))
     numbers = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if set(numbers) != {0, 1}:
@@ -271,24 +338,22 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 6000):
     limit = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
     sample = known.filter(_share(11) < limit).withColumn("fold", (_share(12) < 0.25).cast("int"))
     train = materialized(docs.join(F.broadcast(sample), "__id").select("toxic", "fold", "text"))  # a bounded sample
-    rows = lambda df: list(zip(*df.toArrow().to_pydict().values(), strict=True))
-    model = Model(rows(class_counts(train.filter("fold = 0"))), rows(shared_counts(word_counts(docs))))
+    toxic, fold, gram, n = _columns(class_counts(train))
+    if not len(gram):
+        return None
+    wanted = spark.sparkContext.broadcast(histories(gram))
+    shared = tuple(_columns(shared_counts(word_counts(docs), wanted)))
+    of = lambda c, use: (gram[use & (toxic == c)], n[use & (toxic == c)])
+    first = spark.sparkContext.broadcast(Model([of(c, fold == 0) for c in (0, 1)], shared))
 
-    def sums(batch):
-        for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
-            found = np.array(model.ratios(text))
-            if len(found):
-                yield toxic, [v for gate in GATES for v in features(*beyond(found, gate))]
+    def judged(batch):
+        x = Scorer(first.value).evidence(batch["text"])
+        return zip(batch["toxic"], x, strict=True)
 
-    held = rows(arrow_map(train.filter("fold = 1").select("toxic", "text"), sums, "toxic int, x array<double>"))
-    if {r[0] for r in held} != {0, 1}:
-        return None
-    weight, y = np.array([1 / share[r[0]] for r in held]), np.array([float(r[0]) for r in held])
-    x = np.array([r[1] for r in held]).reshape(len(held), len(GATES), -1)
-    curves = [fit_logistic(x[:, i], y, weight) for i in range(len(GATES))]
-    best = max(range(len(GATES)), key=lambda i: likelihood(curves[i], x[:, i], y, weight))
-    model.gate = GATES[best]
-    return model, curves[best]
+    held_y, held_x = _columns(arrow_map(train.filter("fold = 1").select("toxic", "text"), judged, "toxic int, x double"))
+    curve = fit_curve(held_x, held_y.astype(float), np.array([1 / share[int(c)] for c in held_y]))
+    whole = Model([of(c, fold >= 0) for c in (0, 1)], shared)
+    return whole, curve
 
 
 def _training(labels: DataFrame, id_col: str, folds: int, held_out: int) -> DataFrame:
@@ -296,23 +361,35 @@ def _training(labels: DataFrame, id_col: str, folds: int, held_out: int) -> Data
     return known.filter(F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(folds)) != held_out)
 
 
-def shared(docs: DataFrame, fitted):
-    """The model as a broadcast: a worker keeps it, with the ratios it has found, from task to task."""
-    return docs.sparkSession.sparkContext.broadcast(fitted)
+class _Scores:
+    """Function from texts to their probabilities of being toxic, out of the broadcast model and curve."""
+
+    def __init__(self, fitted):
+        self.fitted, self.scorer = fitted, None
+
+    def __getstate__(self):
+        return self.fitted
 
+    def __setstate__(self, fitted):
+        self.__init__(fitted)
 
-def scorer(broadcast):
-    """Function from a text to its probability of being toxic."""
-    fitted = broadcast.value
-    if fitted is None:
-        return lambda text: 0.0
-    model, w = fitted
+    def __call__(self, texts: list[str]) -> list[float]:
+        if self.fitted.value is None:
+            return [0.0] * len(texts)
+        model, (slope, offset) = self.fitted.value
+        self.scorer = self.scorer or Scorer(model)
+        z = np.clip(slope * np.array(self.scorer.evidence(texts)) + offset, -30, 30)
+        return (1 / (1 + np.exp(-z))).tolist()
 
-    def score(text: str) -> float:
-        z = float(np.dot(w[:-1], features(*model.ratio(text))) + w[-1])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def clear(self):
+        """What a worker kept must not stay when its partition is through."""
+        self.scorer = None
+        return ()
 
-    return score
+
+def _fitted(docs: DataFrame, labels: DataFrame, folds: int, held_out: int, per_class: int, id_col: str, text_col: str) -> _Scores:
+    rows_in = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
+    return _Scores(docs.sparkSession.sparkContext.broadcast(fit(rows_in, _training(labels, id_col, folds, held_out), per_class)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, folds: int = 4, held_out: int = 2, per_class: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,39 +398,42 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, fold
     Labels are learned only from rows whose crc32(id as text) mod `folds` is not
     `held_out`. Returns `id_col`, held_out (null ids: false), score, predicted.
     Null and empty texts get the score of a document without evidence. Without
-    labels of both classes every score is 0. Null ids and repeated rows stay; of
-    repeated labels the toxic one counts; an empty table gives an empty result;
-    other columns are ignored.
+    labels of both classes every score is 0; with few, scores follow the prior
+    curve. Null ids and repeated rows stay; of repeated labels the toxic one
+    counts; an empty table gives an empty result; other columns are ignored.
     """
-    rows_in = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
-    fitted = shared(docs, fit(rows_in, _training(labels, id_col, folds, held_out), per_class))
+    scores = _fitted(docs, labels, folds, held_out, per_class, id_col, text_col)
 
     def rows(batch):
-        score = scorer(fitted)
-        for key, out, text in zip(batch["__id"], batch["held_out"], batch["text"], strict=True):
-            s = score(text)
+        for key, out, s in zip(batch["__id"], batch["held_out"], scores(batch["text"]), strict=True):
             yield key, out, s, int(s >= cutoff)
 
     out = F.coalesce(F.pmod(F.crc32(F.col("__id").cast("string").cast("binary")), F.lit(folds)) == held_out, F.lit(False))
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = arrow_map(rows_in.select("__id", out.alias("held_out"), "text"), rows, f"id {kind}, held_out boolean, score double, predicted int")
+    rows_in = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
+    scored = arrow_map(rows_in.select("__id", out.alias("held_out"), "text"), rows, f"id {kind}, held_out boolean, score double, predicted int", finish=scores.clear)
     return scored.withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, folds: int = 4, held_out: int = 2, per_class: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that `score_toxicity` does not predict toxic, with all their columns, without a shuffle."""
-    from pyspark.sql.types import DoubleType
-
-    rows_in = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("text"))
-    fitted = shared(docs, fit(rows_in, _training(labels, id_col, folds, held_out), per_class))
+    """The documents that `score_toxicity` does not predict toxic, with all their columns, without a shuffle.
 
-    @F.pandas_udf(DoubleType())
-    def toxicity(texts):
-        score = scorer(fitted)
-        return texts.map(score)
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    return docs.filter(toxicity(text_or_empty(text_col)) < cutoff)
+    Rows are judged as there: null and empty texts stay unless the prior alone
+    reaches the cutoff, repeated rows share their fate, extra columns pass through.
+    """
+    scores = _fitted(docs, labels, folds, held_out, per_class, id_col, text_col)
+    place = docs.columns.index(text_col)
+
+    def kept(batches):
+        for batch in batches:
+            step = max(1, min(512, batch.num_rows * (16 << 20) // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                s = scores([t or "" for t in part.column(place).to_pylist()])
+                yield part.filter(pa.array([x < cutoff for x in s], pa.bool_()))
+        scores.clear()
+
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
