@@ -5,11 +5,12 @@ menus, headers, footers, forms and the like is not text of the page. A menu,
 header or footer of the page itself leaves empty lines behind; other such
 containers leave nothing, so what they part stays together. Text lengths are
 summed over a window of `window` lines sliding down the page. Where the sum
-surges from nothing, text begins; where it dives to nothing, it ends. A page that
-marks its article is read only there, and wholly. Elsewhere a stretch that
-reaches `surge` characters in a window is text, and lines that are mostly links
-begin or end none; from the first such stretch's first line to the last one's
-last, every line is kept, short and linked ones too.
+surges from nothing, text begins; where it dives to nothing, it ends. A stretch
+that reaches `surge` characters in a window is text; from the first such stretch's
+first line to the last one's last, every line is kept, short and linked ones too.
+Lines that are mostly links begin or end none. Where a page marks its article,
+lines outside weigh nothing and those inside `marked` times their length, links or
+not, so that with these parameters no line of it is too short to count.
 """
 
 from __future__ import annotations
@@ -141,9 +142,14 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
                 lines.append((text, article > 0, linked))
         linked = 0
 
-    at, end = 0, len(html)
+    # beyond the last > there is no tag to look for, only an unfinished comment
+    at, end, last = 0, len(html), html.rfind(">") + 1
     while at < end:
-        tag = TAG.search(html, at)
+        tag = TAG.search(html, at, last) if at < last else None
+        if not tag and (open_ := html.find("<!--", at)) >= 0:
+            html, end = html[:open_], open_
+        if tag and tag[0].startswith("<!--") and not tag[0].endswith("-->"):
+            end = tag.start()
         stop = tag.start() if tag else end
         if stop > at and not apart:
             pieces.append(piece := html[at:stop])
@@ -159,7 +165,7 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
         if apart:
             if name in RAW:
                 if not closing and not attributes.endswith("/"):
-                    at = _past(html, name, at)
+                    at = _past(html, name, at, last)
                 continue
             if name in VOID and name != "hr" or name in INLINE and name != apart:
                 continue
@@ -175,7 +181,7 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
                 continue
         if name in RAW:
             if not closing and not attributes.endswith("/"):
-                at = _past(html, name, at)
+                at = _past(html, name, at, last)
             if name not in ("noscript", "svg", "math", "object"):
                 flush()
             continue
@@ -206,25 +212,27 @@ def lines_of(html: str, window: int) -> list[tuple[str, bool, int]]:
     return lines
 
 
-def _past(html: str, name: str, at: int) -> int:
-    found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+def _past(html: str, name: str, at: int, last: int) -> int:
+    found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at, last)
     return found.end() if found else len(html)
 
 
-def main_text(html: str, window: int = 3, surge: int = 80) -> str:
+def main_text(html: str, window: int = 3, surge: int = 80, marked: int = 80) -> str:
     """The article's blocks in page order, joined by two newlines; empty if none."""
     lines = lines_of(html, window)
-    if article := [t for t, a, _ in lines if a and t]:
-        return "\n\n".join(article)
-    lengths = [len(t) if 2 * linked < len(t) else 0 for t, _, linked in lines]
+    if any(a and t for t, a, _ in lines):
+        lengths = [marked * len(t) if a else 0 for t, a, _ in lines]
+    else:
+        lengths = [len(t) if 2 * linked < len(t) else 0 for t, _, linked in lines]
     sums, total = [0] * len(lines), 0
     for i in range(len(lines) - 1, -1, -1):
         total += lengths[i] - (lengths[i + window] if i + window < len(lines) else 0)
         sums[i] = total
-    first, last = len(lines), 0
+    out, between = [], []
     i = 0
     while i < len(lines):
         if not sums[i] or not lengths[i]:
+            between.append(i)
             i += 1
             continue
         j, peak = i, 0
@@ -232,12 +240,16 @@ def main_text(html: str, window: int = 3, surge: int = 80) -> str:
             peak = max(peak, sums[j])
             j += 1
         if peak >= surge:
-            first, last = min(first, i), j
+            out += (between if out else []) + list(range(i, j))
+            between = []
+        else:
+            between += range(i, j)
         i = j
-    return "\n\n".join(t for t, _, _ in lines[first:last] if t)
+    inside = any(a and t for t, a, _ in lines)
+    return "\n\n".join(lines[i][0] for i in out if lines[i][0] and (lines[i][1] or not inside))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), window: int = 3, surge: int = 80) -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",), window: int = 3, surge: int = 80, marked: int = 80) -> DataFrame:
     """Main text of every page, one row for each input row.
 
     Returns `id_col`, the `keep` columns, text, n_chars. Null and empty html have
@@ -247,7 +259,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
 
     def rows(batch):
         for *before, html in zip(batch["id"], *(batch[f"keep{i}"] for i in range(len(keep))), batch["html"], strict=True):
-            text = main_text(html, window, surge)
+            text = main_text(html, window, surge, marked)
             yield (*before, text, len(text))
 
     kind = lambda c: pages.schema[c].dataType.simpleString()

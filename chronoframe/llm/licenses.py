@@ -1,10 +1,12 @@
 """Licence scan by a positional rare-token index.
 
-Templates are word sequences. Each is posted under its rarest words, by inverse
-document frequency over the whole corpus, together with the word's offset in the
-template. A file's rarest licence words are looked up; postings that agree on
-the template's start are intersected by relative position; a start stands when
-every mandatory key phrase of the template is found where the template has it.
+Templates are word sequences. Each is posted under its ANCHORS rarest places, by
+inverse document frequency over the whole corpus, among those that its mandatory
+key phrases cover. A file's licence words are looked up from the rarest down: a
+word brings the templates whose rarest anchor it is, and their starts there are
+intersected, by relative position, with those that the other anchors allow. A
+start that remains stands when every key phrase is found where the template has
+it. All anchors are mandatory words, so no place is missed.
 """
 
 from __future__ import annotations
@@ -24,25 +26,80 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices: label, text, mandatory key phrases (each stands in the text).
+#: Licence texts and notices. Label, text, mandatory key phrases (each stands in the text).
 NOTICES = [
     ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        ["permission is hereby granted", "free of charge"],
+    ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied",
+        ["apache license version 2 0"],
+    ),
+    (
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        ["terms of the gnu general public license", "either version 2 of the license"],
+    ),
+    (
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ["terms of the gnu general public license", "either version 3 of the license"],
+    ),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ["general public license version 2"]),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ["general public license version 3"]),
     ("lgpl", "licensed under the gnu lesser general public license", ["lesser general public license"]),
     ("agpl", "licensed under the gnu affero general public license", ["affero general public license"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use", "source and binary forms"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", ["permission to use copy modify", "for any purpose"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software", "public domain"]),
-    ("cc0", "to the extent possible under law the author has waived all copyright", ["waived all copyright"]),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+        ["mozilla public license"],
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice "
+        "this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+        "in the documentation and or other materials provided with the distribution",
+        ["redistribution and use", "source and binary forms"],
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        ["permission to use copy modify", "for any purpose"],
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ["in no event will the authors be held liable", "permission is granted to anyone"],
+    ),
+    (
+        "bsl-1.0",
+        "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+        ["boost software license"],
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose",
+        ["unencumbered software", "public domain"],
+    ),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-nd-4.0", "licensed under cc by nd 4 0", ["cc by nd"]),
 ]
+#: Places of a template whose postings are intersected.
+ANCHORS = 3
 
 
 @dataclass(frozen=True)
@@ -73,43 +130,40 @@ def templates(base: dict[str, str] = BASE, notices=NOTICES) -> list[Template]:
 
 
 class Index:
-    """Postings of templates under their rarest words.
-
-    `weight`: inverse document frequency of each licence word. A base phrase and
-    each key phrase of a notice are posted under their single rarest word: a
-    phrase can't stand anywhere without it, so no place is missed.
-    """
+    """Postings of templates under their rarest mandatory words; `weight`: inverse document frequency of each licence word."""
 
     def __init__(self, made: list[Template], weight: dict[bytes, float]):
         self.made = made
         self.weight = weight
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.anchors = []
+        self.postings: dict[bytes, list[int]] = defaultdict(list)
+        self.anchors: list[list[tuple[int, bytes]]] = []
         for t, x in enumerate(made):
-            anchors = set()
-            for at, phrase in x.keys:
-                rare = max(phrase, key=lambda w: (weight.get(w, 0.0), w))
-                anchors |= {(at + i, w) for i, w in enumerate(phrase) if w == rare}
-            self.anchors.append(anchors)
-            for i, w in anchors:
-                self.postings[w].append((t, i))
+            places = {at + i: w for at, phrase in x.keys for i, w in enumerate(phrase)}
+            rarest = sorted(places.items(), key=lambda p: (-weight.get(p[1], 0.0), p[0]))[:ANCHORS]
+            self.anchors.append(rarest)
+            self.postings[rarest[0][1]].append(t)
+        self.looked_up = {w for rarest in self.anchors for _, w in rarest}
         self.totals = [sum(weight.get(w, 0.0) for w in x.words) or 1.0 for x in made]
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, share of its weight found in place), every place once."""
-        postings = self.postings
-        votes: dict[tuple[int, int], int] = defaultdict(int)
+        places: dict[bytes, list[int]] = {}
         for at, w in enumerate(words):
-            if w in postings:
-                for t, i in postings[w]:
-                    votes[t, at - i] += 1
+            if w in self.looked_up:
+                places.setdefault(w, []).append(at)
         found = []
-        for (t, start), _ in sorted(votes.items()):
-            x = self.made[t]
-            if all(start + o >= 0 and tuple(words[start + o : start + o + len(k)]) == k for o, k in x.keys):
-                got = sum(self.weight.get(w, 0.0) for i, w in enumerate(x.words) if 0 <= start + i < len(words) and words[start + i] == w)
-                found.append((t, start, min(1.0, got / self.totals[t])))
-        return found
+        for rare in sorted(places, key=lambda w: -self.weight.get(w, 0.0)):
+            for t in self.postings.get(rare, ()):
+                (offset, _), *others = self.anchors[t]
+                starts = {at - offset for at in places[rare]}
+                for offset, w in others:
+                    starts &= {at - offset for at in places.get(w, ())}
+                x = self.made[t]
+                for start in starts:
+                    if all(start + o >= 0 and tuple(words[start + o : start + o + len(k)]) == k for o, k in x.keys):
+                        got = sum(self.weight.get(w, 0.0) for i, w in enumerate(x.words) if 0 <= start + i < len(words) and words[start + i] == w)
+                        found.append((t, start, min(1.0, got / self.totals[t])))
+        return sorted(found)
 
 
 def word_weights(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, float]:

@@ -1,9 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token weights of the cells (source, language, topic) are raked to the targets of
-each of the three marginals in turn until they hold together. A document is kept
-with a probability proportional to its cell's weight for each token, scaled so
-that the expected tokens meet the budget, and decided by a hash of the document.
+Expected tokens of the cells (source, language, topic) are raked to the targets of
+each of the three marginals in turn until they hold together. A cell can't give
+more than it has: a value's factor is solved so that the capped cells, kept whole,
+and the others together meet the target, and every further turn rakes under the
+same caps. What a value can't give at all goes to the other values of its
+dimension in proportion to their targets. A document is kept with its cell's
+probability, decided by a hash of the document.
 
 All values that the targets don't name fall into the cell `*`, so the number of
 cells is bounded by the targets, and the fit is one expression over one row.
@@ -41,33 +44,49 @@ def _bucket(value: Column, named) -> Column:
     return F.when(value.isin(*[n for n in named if n != OTHER]), value).otherwise(F.lit(OTHER))
 
 
-def with_cells(docs: DataFrame, targets=TARGETS, text_col: str = "text", prefix: str = "__") -> DataFrame:
-    """Adds tokens, topic and the cell's three values under names with `prefix`."""
-    text = text_or_empty(text_col)
-    df = docs.withColumn(f"{prefix}tokens", tokens_of(text))
-    df = df.withColumn(f"{prefix}topic", topic_of(text, F.col(f"{prefix}tokens")))
-    value = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": F.col(f"{prefix}topic")}
-    return df.withColumns({f"{prefix}{i}": _bucket(value[d], targets[d]) for i, d in enumerate(DIMENSIONS)})
+def with_cells(docs: DataFrame, targets=TARGETS) -> DataFrame:
+    """Adds tokens, topic and the cell's three values c0, c1, c2 to rows of source, lang and text, with whatever else they hold."""
+    df = docs.withColumn("tokens", tokens_of(F.col("text")))
+    df = df.withColumn("topic", topic_of(F.col("text"), F.col("tokens")))
+    return df.withColumns({f"c{i}": _bucket(F.col(d), targets[d]) for i, d in enumerate(DIMENSIONS)})
 
 
-def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 40, prefix: str = "__") -> DataFrame:
-    """Probability of keeping a document of each cell: __0, __1, __2, rate.
+def _solved(goal: Column, cells: Column, turns: int = 10) -> Column:
+    """The factor f with sum(min(f * w, t)) = goal, by Newton's steps from below; all cells are kept whole if they can't meet it."""
 
-    celled: as with_cells gives it. Target shares are taken among the values that
-    the documents have. rate = min(1, scale * weight / tokens), the scale solved
-    so that the expected tokens are `keep` of all.
+    def step(f: Column, _) -> Column:
+        whole = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(f * c["w"] >= c["t"], c["t"]).otherwise(F.lit(0.0)))
+        free = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(f * c["w"] >= c["t"], F.lit(0.0)).otherwise(c["w"]))
+        return F.when(free > 0, F.greatest(f, (goal - whole) / free)).otherwise(f)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), F.lit(0.0), step)
+
+
+def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 60) -> DataFrame:
+    """Probability of keeping a document of each cell: c0, c1, c2, t (its tokens), rate.
+
+    celled: as with_cells gives it. Expected tokens are `keep` of all. Target
+    shares are taken among the values that the documents have.
     """
-    names = [f"{prefix}{i}" for i in range(3)]
-    cells = celled.groupBy(*names).agg(F.sum(f"{prefix}tokens").cast("double").alias("t"))
-    one = cells.agg(F.array_sort(F.collect_list(F.struct(*[F.col(n).alias(f"d{i}") for i, n in enumerate(names)], "t", F.col("t").alias("w")))).alias("cells"), F.sum("t").alias("total"))
+    names = [f"c{i}" for i in range(3)]
+    cells = celled.groupBy(*names).agg(F.sum("tokens").cast("double").alias("t"))
+    one = cells.agg(F.array_sort(F.collect_list(F.struct(*[F.col(n).alias(f"d{i}") for i, n in enumerate(names)], "t", (F.lit(float(keep)) * F.col("t")).alias("w")))).alias("cells"), (keep * F.sum("t")).alias("goal"))
+
+    def wanted(one: DataFrame, i: int) -> DataFrame:
+        """Adds v{i}: tokens wanted of each value of a dimension, in proportion to the targets, but no more than there are."""
+        named = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("w")) for k, v in sorted(targets[DIMENSIONS[i]].items())])
+        there = F.transform(named, lambda g: F.struct(g["k"].alias("k"), g["w"].alias("w"), F.aggregate(F.filter("cells", lambda c: c[f"d{i}"] == g["k"]), F.lit(0.0), lambda a, c: a + c["t"]).alias("t")))
+        one = one.withColumn(f"v{i}", F.filter(there, lambda g: (g["t"] > 0) & (g["w"] > 0)))
+        one = one.withColumn(f"f{i}", _solved(F.col("goal"), F.col(f"v{i}"), 30))
+        return one.withColumn(f"v{i}", F.transform(f"v{i}", lambda g: F.struct(g["k"].alias("k"), F.least(g["t"], F.col(f"f{i}") * g["w"]).alias("v"))))
 
-    total_w = lambda cells: F.aggregate(cells, F.lit(0.0), lambda a, c: a + c["w"])
+    for i in range(3):
+        one = wanted(one, i)
 
     def factors(cells: Column, i: int) -> Column:
-        """value -> target share / present share, for the values that have weight"""
-        goal = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("v")) for k, v in sorted(targets[DIMENSIONS[i]].items())])
-        own = F.transform(goal, lambda g: F.struct(g["k"].alias("k"), g["v"].alias("v"), total_w(F.filter(cells, lambda c: c[f"d{i}"] == g["k"])).alias("w")))
-        return F.map_from_entries(F.transform(F.filter(own, lambda g: g["w"] > 0), lambda g: F.struct(g["k"], (g["v"] / g["w"]).alias("f"))))
+        """value -> factor under the cells' caps"""
+        own = F.transform(f"v{i}", lambda g: F.struct(g["k"].alias("k"), g["v"].alias("v"), F.filter(cells, lambda c: c[f"d{i}"] == g["k"]).alias("own")))
+        return F.map_from_entries(F.transform(own, lambda g: F.struct(g["k"].alias("k"), _solved(g["v"], g["own"]).alias("f"))))
 
     def applied(cells: Column, by: Column, i: int) -> Column:
         return F.transform(cells, lambda c: F.struct(*[c[f"d{j}"].alias(f"d{j}") for j in range(3)], c["t"].alias("t"), (c["w"] * F.coalesce(F.try_element_at(by, c[f"d{i}"]), F.lit(0.0))).alias("w")))
@@ -84,47 +103,55 @@ def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 40,
                 step = F.when(s % 6 == k, what) if step is None else step.when(s % 6 == k, what)
         return step
 
-    raked = one.select("total", F.aggregate(F.sequence(F.lit(0), F.lit(6 * rounds - 1)), F.struct(F.col("cells").alias("cells"), none.alias("by")), turn)["cells"].alias("cells"))
-    # the scale: cells that are kept whole leave the rest of the budget to the others; their set only grows
-    goal = keep * F.col("total")
-
-    def rescaled(scale: Column, _) -> Column:
-        whole = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.when(scale * c["w"] >= c["t"], c["t"]).otherwise(F.lit(0.0)))
-        free = F.aggregate("cells", F.lit(0.0), lambda a, c: a + F.when(scale * c["w"] >= c["t"], F.lit(0.0)).otherwise(c["w"]))
-        return F.when(free > 0, F.greatest(scale, (goal - whole) / free)).otherwise(scale)
-
-    scaled = raked.select("total", "cells", F.aggregate(F.sequence(F.lit(1), F.lit(60)), goal / F.greatest(total_w(F.col("cells")), F.lit(1e-300)), rescaled).alias("scale"))
-    each = scaled.select("scale", F.explode("cells").alias("c"))
-    return each.select(*[F.col(f"c.d{i}").alias(n) for i, n in enumerate(names)], F.least(F.lit(1.0), F.col("scale") * F.col("c.w") / F.col("c.t")).alias("rate"))
+    raked = one.select(F.aggregate(F.sequence(F.lit(0), F.lit(6 * rounds - 1)), F.struct(F.col("cells").alias("cells"), none.alias("by")), turn)["cells"].alias("cells"))
+    return raked.select(F.explode("cells").alias("c")).select(*[F.col(f"c.d{i}").alias(n) for i, n in enumerate(names)], F.col("c.t").alias("t"), F.least(F.lit(1.0), F.col("c.w") / F.col("c.t")).alias("rate"))
 
 
 def _chance(seed: int, *columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11).cast("double") * F.lit(2.0**-53)
 
 
+def _judged(docs: DataFrame, keep: float, targets, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Rows of id, source, lang, text and `more` with tokens, topic and rate. No name of the input can clash."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty(f"`{text_col}`").alias("text"), *more)
+    celled = with_cells(rows, targets)
+    rates = fit_rates(celled.drop("row"), keep, targets).drop("t")
+    # no more rows than the product of the targets' values
+    return celled.join(F.broadcast(rates), [f"c{i}" for i in range(3)])
+
+
 def mix_sources(docs: DataFrame, keep: float = 0.5, targets=TARGETS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Decision for every document, one row for each input row.
 
     Returns `id_col`, source, lang, topic, n_tokens, probability, kept. Null and
     empty texts count as one token; null sources and languages count as other
-    values (`*`); a value whose target is missing under `*` as well gets
+    values (`*`); a value whose target is missing or 0 under `*` as well gets
     probability 0. Repeated rows get the same decision; an empty table gives an
     empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), "source", "lang", text_or_empty(text_col).alias("text"))
-    celled = with_cells(rows, targets)
-    rates = fit_rates(celled, keep, targets)
-    # no more rows than the product of the targets' values
-    out = celled.join(F.broadcast(rates), [f"__{i}" for i in range(3)])
-    return out.select(F.col("__id").alias(id_col), "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("rate").alias("probability"), (_chance(seed, F.col("__id"), F.col("text")) < F.col("rate")).alias("kept"))
+    out = _judged(docs, keep, targets, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), "source", "lang", "topic", F.col("tokens").alias("n_tokens"), F.col("rate").alias("probability"), (_chance(seed, F.col("id"), F.col("text")) < F.col("rate")).alias("kept"))
+
+
+def mixing_report(docs: DataFrame, keep: float = 0.5, targets=TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What the fit attains: dimension, value, target, present (share of all tokens), expected (share of the kept ones).
+
+    A value falls short of its target only if its tokens don't suffice, alone or
+    together with those of the other dimensions.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty(f"`{text_col}`").alias("text"))
+    rates = fit_rates(with_cells(rows, targets), keep, targets)
+    long = rates.select("t", (F.col("t") * F.col("rate")).alias("e"), F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(f"c{i}").alias("value")) for i, d in enumerate(DIMENSIONS)])).alias("x"))
+    by = long.groupBy("x.dimension", "x.value").agg(F.sum("t").alias("t"), F.sum("e").alias("e"))
+    total = rates.agg(F.sum("t").alias("tt"), F.sum(F.col("t") * F.col("rate")).alias("te"))  # one row
+    goal = F.create_map(*[x for d in DIMENSIONS for k, v in targets[d].items() for x in (F.lit(f"{d}/{k}"), F.lit(float(v)))])
+    return by.join(F.broadcast(total)).select("dimension", "value", F.try_element_at(goal, F.concat("dimension", F.lit("/"), "value")).alias("target"), (F.col("t") / F.col("tt")).alias("present"), (F.col("e") / F.col("te")).alias("expected"))
 
 
 def sample_mixed(docs: DataFrame, keep: float = 0.5, targets=TARGETS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that mix_sources keeps, with all their columns and without a shuffle of theirs."""
-    celled = with_cells(docs, targets, text_col, "__mix_")
-    rates = fit_rates(celled, keep, targets, prefix="__mix_")
-    out = celled.join(F.broadcast(rates), [f"__mix_{i}" for i in range(3)])
-    return out.filter(_chance(seed, F.col(id_col), text_or_empty(text_col)) < F.col("rate")).select(*docs.columns)
+    """The documents that mix_sources keeps, with all their columns, whatever their names, and without a shuffle of theirs."""
+    out = _judged(docs, keep, targets, id_col, text_col, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return out.filter(_chance(seed, F.col("id"), F.col("text")) < F.col("rate")).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,16 @@ a dart: about K log K darts, however many shingles there are.
 Bands of the signature bring candidates together. A bucket is never expanded to
 its pairs: each member is compared with the bucket's two hubs (its smallest and
 largest text). Only where a bucket then still holds several components, members
-of different components are compared, so no link is lost. A pair counts as
-linked if its exact similarity, over whole shingle sets, reaches the threshold.
+of different components are compared, pack by pack, and what leaves are links that
+join components, so no link is lost and no more rows appear than members. A pair
+counts as linked if its exact similarity, over whole shingle sets, reaches the
+threshold.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import xxhash
@@ -29,10 +32,11 @@ from chronoframe.llm.common import arrow_map, materialized, table, text_or_empty
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 30
 K = ROWS * BANDS
-#: Signatures that agree in a smaller share are not compared exactly: over four and a half standard errors below the threshold.
+#: Signatures that agree in a smaller share are not compared with a hub at first: over four and a half standard errors below the threshold.
 LIKELY = 0.66
-#: Members of a bucket that are compared at a time.
-CHUNK = 256
+#: Members, and bytes of their shingles, that are compared with as many others at a time, and shingles a block of the comparison.
+PACK, PACK_BYTES, COLUMNS = 512, 4 << 20, 4096
+WORD = re.compile(r"\w+")
 U = np.uint64
 
 
@@ -116,7 +120,7 @@ class Shingles:
 
         weighted: a shingle that stands n times has n unit regions, each with a hash of its own.
         """
-        words = text.lower().split()
+        words = WORD.findall(text.lower())
         if not words:
             return np.zeros(0, U)
         known = self.known
@@ -149,8 +153,12 @@ def _signed(docs: DataFrame, weighted: bool) -> DataFrame:
             bands = _mix((_mix(s).reshape(BANDS, ROWS) * powers).sum(axis=1, dtype=U) + np.arange(BANDS, dtype=U) * U(0xA24BAED4963EE407))
             yield key, node, bands.view(np.int64).tolist(), (s & U(0xFFFF)).astype(np.uint16).tobytes()
 
+    def done():
+        shingles.known.clear()
+        return ()
+
     kind = dict(docs.dtypes)["id"]
-    return arrow_map(docs, rows, f"id {kind}, node binary, bands array<long>, sig binary")
+    return arrow_map(docs, rows, f"id {kind}, node binary, bands array<long>, sig binary", finish=done)
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -165,10 +173,9 @@ def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "sa", "sb"), rows, "a binary, b binary")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, weighted: bool, threshold: float) -> DataFrame:
-    """Those of the pairs whose exact similarity reaches the threshold."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = reps.join(needed, "node", "left_semi").select(F.col("node").alias("w"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"))
+def _sets(nodes: DataFrame, texts: DataFrame, reps: DataFrame, weighted: bool) -> DataFrame:
+    """Shingles of the nodes: node, s (sorted hashes), bytes."""
+    wanted = reps.join(nodes, "node", "left_semi").select(F.col("node").alias("w"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k"))
     held = texts.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("key"), "text")
     # by id and text: of a group of copies only the representative's text is moved
     held = held.join(wanted, (held["key"] == wanted["k"]) & (held["node"] == wanted["w"]), "left_semi").select("node", "text")
@@ -176,55 +183,123 @@ def _linked(pairs: DataFrame, texts: DataFrame, reps: DataFrame, weighted: bool,
 
     def hashed(batch):
         for node, text in zip(batch["node"], batch["text"], strict=True):
-            yield node, shingles.of(text, weighted).tobytes()
-
-    sets = arrow_map(held, hashed, "node binary, s binary")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+            s = shingles.of(text, weighted).tobytes()
+            yield node, s, len(s)
 
-    def compared(batch):
-        for a, b, sa, sb in zip(batch["a"], batch["b"], batch["sa"], batch["sb"], strict=True):
-            x, y = np.frombuffer(sa, U), np.frombuffer(sb, U)
-            if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                continue
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if common >= threshold * (len(x) + len(y) - common):
-                yield a, b
+    def done():
+        shingles.known.clear()
+        return ()
 
-    return arrow_map(both.select("a", "b", "sa", "sb"), compared, "a binary, b binary", batch_rows=64).distinct()
+    hashed_ = arrow_map(held, hashed, "node binary, s binary, bytes long", finish=done)
+    return hashed_.groupBy("node").agg(F.any_value("s").alias("s"), F.any_value("bytes").alias("bytes"))  # rows that repeat whole
 
 
-def _across(shared: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of members of one bucket that lie in different components, each once.
+def _star_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a hub, b member) whose exact similarity reaches the threshold.
 
-    Only buckets that still hold several components are looked at. Their members
-    are packed, about CHUNK to a row, and compared pack by pack; what leaves are
-    the likely pairs. A pair of several buckets counts in its first band, and
-    pairs with a hub have been compared before.
+    A hub's members are dealt to packs by a salt, so many that all sets together
+    would give PACK_BYTES to each; a pack meets its hub's set once.
     """
-    inside = shared.join(labels, "node", "left").select("bucket", "band", "low", "high", "node", F.coalesce("label", "node").alias("label"))
-    split = inside.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("size")).filter("l0 <> l1").select("bucket", "size")
-    open_ = inside.join(split, "bucket").join(sigs, "node")
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHUNK))
-    packs = open_.groupBy("bucket", chunk.alias("chunk")).agg(F.min("band").alias("band"), F.min("low").alias("low"), F.min("high").alias("high"), F.collect_list(F.struct("node", "label", "sig")).alias("a"))
-    packs = materialized(packs)
-    other = packs.select(F.col("bucket").alias("bucket_b"), F.col("chunk").alias("chunk_b"), F.col("a").alias("b"))
-    both = packs.join(other, (F.col("bucket") == F.col("bucket_b")) & (F.col("chunk") <= F.col("chunk_b")))
+    total = sets.agg(F.sum("bytes")).first()[0] or 0
+    salt = F.pmod(F.xxhash64("b"), F.lit(int(total // PACK_BYTES) + 1)).alias("salt")
+    dealt = pairs.select("a", "b", salt)
+    members = dealt.join(sets.select(F.col("node").alias("b"), "s"), "b").groupBy("a", "salt").agg(F.collect_list(F.struct("b", "s")).alias("members"))
+    hubs = dealt.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("s").alias("hub")), "a")
 
     def rows(batch):
-        for band, low, high, same, a, b in zip(*(batch[c] for c in ("band", "low", "high", "same", "a", "b")), strict=True):
-            x, y = (np.frombuffer(b"".join(m["sig"] for m in side), np.uint16).reshape(len(side), BANDS, ROWS) for side in (a, b))
-            label = np.array([m["label"].hex() for m in b])
-            for i, m in enumerate(a):
-                if m["node"] in (low, high):
+        for a, hub, members in zip(batch["a"], batch["hub"], batch["members"], strict=True):
+            x = np.frombuffer(hub, U)
+            for m in members:
+                y = np.frombuffer(m["s"], U)
+                if min(len(x), len(y)) < threshold * max(len(x), len(y)):
                     continue
-                equal = y == x[i]
-                first = equal.all(axis=2).argmax(axis=1) == band
-                for j in np.flatnonzero(first & (equal.mean(axis=(1, 2)) >= LIKELY) & (label != m["label"].hex())):
-                    if b[j]["node"] not in (low, high) and (j > i or not same):
-                        yield tuple(sorted((m["node"], b[j]["node"])))
+                common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                if common >= threshold * (len(x) + len(y) - common):
+                    yield a, m["b"]
+
+    return arrow_map(members.join(hubs, ["a", "salt"]).select("a", "hub", "members"), rows, "a binary, b binary", batch_rows=16)
 
-    given = both.select("band", "low", "high", (F.col("chunk") == F.col("chunk_b")).alias("same"), "a", "b")
-    return arrow_map(given, rows, "a binary, b binary", batch_rows=4).distinct()
+
+def joining_links(a: list[dict], b: list[dict], threshold: float, same: bool):
+    """Links between members (node, label, s) of two packs, or within one, that join components: fewer than labels.
+
+    All similarities across labels are found exactly, as products of incidence
+    matrices, a block of COLUMNS shingles at a time.
+    """
+    everyone = a if same else a + b
+    names = {label: i for i, label in enumerate(dict.fromkeys(m["label"] for m in everyone))}
+    if len(names) < 2:
+        return
+    label = np.array([names[m["label"]] for m in everyone])
+    sets = [np.frombuffer(m["s"], U) for m in everyone]
+    size = np.array([len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[often] = np.arange(len(often))
+    column, row = place[column], np.repeat(np.arange(len(everyone)), size)
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n, first = len(a), 0 if same else len(a)
+    common = np.zeros((n, len(everyone) - first), np.float32)
+    edges = np.searchsorted(column, np.arange(0, len(often) + COLUMNS, COLUMNS))
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        x = np.zeros((len(everyone), COLUMNS), np.float32)
+        x[row[lo:hi], column[lo:hi] - k * COLUMNS] = 1
+        common += x[:n] @ x[first:].T
+    both = size[:n, None] + size[None, first:] - common.astype(np.float64)
+    linked = (common >= threshold * both) & (label[:n, None] != label[None, first:])
+    i, j = np.nonzero(np.triu(linked) if same else linked)
+    j = j + first
+    _, one = np.unique(label[i] * len(names) + label[j], return_index=True)
+    root = list(range(len(names)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in one:
+        x, y = top(label[i[k]]), top(label[j[k]])
+        if x != y:
+            root[x] = y
+            yield everyone[i[k]]["node"], everyone[j[k]]["node"]
+
+
+def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join different components of buckets which still hold several.
+
+    Such open buckets that share members form a block. A block's members are
+    packed, at most about PACK members and PACK_BYTES to a row, every pack is
+    compared with itself and with the block's other packs, and only links that
+    join components leave. Each pair of packs is a join key of its own.
+    """
+    inside = shared.join(labels, "node", "left").select("bucket", "low", "node", F.coalesce("label", "node").alias("label"))
+    split = inside.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("bucket")
+    open_ = materialized(inside.join(split, "bucket", "left_semi"))
+    if open_.isEmpty():
+        return open_.select(F.col("low").alias("a"), F.col("node").alias("b"))
+    blocks = components(open_.select(F.col("low").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()).withColumnRenamed("label", "block")
+    members = open_.select("node", "label").distinct().join(blocks, "node").join(sets, "node")
+    sizes = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / PACK, F.sum("bytes") / PACK_BYTES)).alias("chunks"))
+    dealt = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    packs = materialized(dealt.groupBy("block", "chunk", "chunks").agg(F.collect_list(F.struct("node", "label", "s")).alias("a")))
+
+    def within(batch):
+        for a in batch["a"]:
+            yield from joining_links(a, a, threshold, True)
+
+    def between(batch):
+        for a, b in zip(batch["a"], batch["b"], strict=True):
+            yield from joining_links(a, b, threshold, False)
+
+    several = packs.filter("chunks > 1")
+    left = several.filter("chunk < chunks - 1").select("block", F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk") + 1, F.col("chunks") - 1)).alias("j"), "a")
+    right = several.filter("chunk > 0").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk") - 1)).alias("i"), F.col("chunk").alias("j"), F.col("a").alias("b"))
+    alone = arrow_map(packs.select("a"), within, "a binary, b binary", batch_rows=4)
+    return alone.union(arrow_map(left.join(right, ["block", "i", "j"]).select("a", "b"), between, "a binary, b binary", batch_rows=1))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -247,35 +322,35 @@ def components(links: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, weighted: bool) -> tuple[DataFrame, DataFrame]:
     """Per row: id, node; per node: n, label (of its class), class_id, id (the node's smallest)."""
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
     signed = materialized(_signed(texts, weighted))
     reps = signed.groupBy("node").agg(F.min("id").alias("id"))
     sigs = signed.groupBy("node").agg(F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))  # copies count once
-    placed = sigs.select("node", F.posexplode("bands").alias("band", "bucket"))
+    placed = sigs.select("node", F.explode("bands").alias("bucket"))
     hubs = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     shared = materialized(placed.join(hubs, "bucket"))
-    sigs = materialized(sigs.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi"))
-    star = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).union(shared.select(F.col("node").alias("a"), F.col("high").alias("b"))).filter("a <> b").distinct()
-    links = materialized(_linked(materialized(_likely(star, sigs)), texts, reps, weighted, threshold))
+    members = shared.select("node").distinct()
+    sigs = materialized(sigs.select("node", "sig").join(members, "node", "left_semi"))
+    sets = materialized(_sets(members, texts, reps, weighted))
+    star = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).union(shared.select(F.col("high").alias("a"), F.col("node").alias("b"))).filter("a <> b").distinct()
+    links = materialized(_star_links(materialized(_likely(star, sigs)), sets, threshold))
     labels = components(links)
-
-    across = materialized(_across(shared, labels, sigs))
-    if not across.isEmpty():
-        more = materialized(_linked(across, texts, reps, weighted, threshold))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    more = materialized(_across(shared, labels, sets, threshold))
+    if not more.isEmpty():
+        labels = components(links.union(more))
 
     named = reps.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("class_id"))
     return signed.select("id", "node"), named.join(smallest, "label").select(F.col("node").alias("n"), "label", "class_id", F.col("id").alias("least"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """Class of every document, one row for each input row: `id_col`, class_id.
 
-    Documents are linked if the Jaccard similarity of their sets of five-word
-    shingles (lower case, white space between words; weighted: multisets) is
-    `threshold` or more; classes are the connected components, equal texts
+    Documents are linked if the weighted Jaccard similarity of their five-word
+    shingles, each weighing how often it stands in the text, is `threshold` or
+    more (weighted=False: each weighs one). Words are runs of letters, digits and
+    underscores in lower case. Classes are the connected components, equal texts
     included; class_id is the smallest id of the class. Texts without words,
     null among them, are linked only to equal ones, null counting as empty. A
     null id is a class_id only if the class has no other. Repeated rows stay; an
@@ -285,23 +360,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return signed.join(by_node, F.col("node") == F.col("n")).select(F.col("id").alias(id_col), "class_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """One document of each class, the one of the smallest id, with all its columns.
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
+    """One document of each class, the one of the smallest id, with all its columns, whatever their names.
 
     Rows without an id stay only where no other row of their class has one. A row
     is known by its id and text, so different texts under one id, or without id,
     are documents of their own; of several texts of the class's smallest id the
-    one of the smallest hash stays. Equal rows become one.
+    one of the smallest hash stays. Equal rows become one. An empty table gives
+    an empty result.
     """
     signed, by_node = _classes(docs, id_col, text_col, threshold, weighted)
     first = by_node.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "n")).alias("x"))
-    kept = materialized(first.select(F.col("x.n").alias("__node"), F.col("x.least").alias("__id")))
-    node = F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
-    out = docs.join(kept, (node == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    rows = signed.join(kept, (F.col("node") == F.col("__node")) & F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    if rows.groupBy("node").count().filter("count > 1").isEmpty():
-        return out
-    return out.withColumn("__node", node).dropDuplicates(["__node"]).drop("__node")
+    kept = materialized(first.select(F.col("x.n").alias("k_node"), F.col("x.least").alias("k_id")))
+    node = F.unhex(F.md5(text_or_empty(f"`{text_col}`").cast("binary")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), node.alias("node"))
+    held = (F.col("node") == F.col("k_node")) & F.col("id").eqNullSafe(F.col("k_id"))
+    out = whole.join(kept, held, "left_semi")
+    if not signed.join(kept, held, "left_semi").groupBy("node").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates(["node"])
+    return out.select("row.*")
 
 
 def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,26 +140,25 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     repeated rows stay; without labels only the base decides; an empty table gives
     an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), _stratum(stratum_col).alias("__stratum"), F.col(text_col))
-    features = materialized(text_features(rows, text_col))
+    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), _stratum(f"`{stratum_col}`").alias("__stratum"), F.col(f"`{text_col}`").alias("__body"))
+    features = materialized(text_features(rows, "__body"))
     cutoffs, over = _rejected(risk_controlled(features, labels.select(F.col(id_col).alias("__id"), "quality"), "__id", "__stratum", **control))
     out = features.join(cutoffs, features["__stratum"] == cutoffs["__s"], "left")
     return out.select(F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), *GRID)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **control) -> DataFrame:
-    """The documents that quality_rules keeps, with all their columns.
+    """The documents that quality_rules keeps, with all their columns, whatever their names.
 
-    Whole rows are not shuffled: the verdict is found anew beside each row.
+    Features are taken once and written beside their rows, so whole rows are not
+    shuffled. Null and empty texts fail the base and go; repeated rows share their
+    fate; an empty table gives an empty result.
     """
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), _stratum(stratum_col).alias("__stratum"), F.col(text_col).alias("__body"))
-    features = materialized(text_features(whole.drop("__row"), "__body"))
-    cutoffs, over = _rejected(risk_controlled(features, labels.select(F.col(id_col).alias("__id"), "quality"), "__id", "__stratum", **control))
-    cutoffs = materialized(cutoffs)
-    # a filter moved below the features would spell them out inside each other, and count windows once for each word
-    judged = text_features(whole, "__body").withColumn("__fence", F.monotonically_increasing_id())
-    out = judged.join(cutoffs, F.col("__stratum") == F.col("__s"), "left")
-    return out.filter((F.col("__fence") >= 0) & ~F.col("base_failed") & ~over).select("__row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), _stratum(f"`{stratum_col}`").alias("__stratum"), F.col(f"`{text_col}`").alias("__body"))
+    judged = materialized(text_features(whole, "__body"))
+    cutoffs, over = _rejected(risk_controlled(judged.drop("__row"), labels.select(F.col(id_col).alias("__id"), "quality"), "__id", "__stratum", **control))
+    out = judged.join(materialized(cutoffs), F.col("__stratum") == F.col("__s"), "left")
+    return out.filter(~F.col("base_failed") & ~over).select("__row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

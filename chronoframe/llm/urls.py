@@ -9,8 +9,10 @@ level, sibling branches under one parent are looked at together:
   more than `z` standard errors are merged to `+`.
 
 A resulting template is rejected when its smoothed share of block labels reaches
-`purity`. A branch without labels is never merged with labelled ones, so it
-keeps the prior and is allowed.
+`purity`. What it is smoothed towards is the share of the same path shape over all
+labelled hosts, itself smoothed towards the prior. So a host of few or no labels
+is judged by what its paths mean elsewhere, once at least `min_hosts` hosts and
+`min_labels` urls say so, and a host with labels of its own mostly by these.
 """
 
 from __future__ import annotations
@@ -46,15 +48,21 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def shape(path: Column) -> Column:
-    """The path with identifiers in its segments generalised: long hexadecimal to <h>, digits to <n>."""
+    """The path with identifiers in its segments generalised: long hexadecimal to <h>, digits to <n>.
+
+    Characters that mark wildcards stand percent-encoded, in letters only, so that no path looks like a template.
+    """
+    for mark, code in (("%", "%p"), ("*", "%s"), ("+", "%a"), ("<", "%l")):
+        path = F.replace(path, F.lit(mark), F.lit(code))
     return F.regexp_replace(F.regexp_replace(path, "(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])[0-9a-f-]{16,}(?![A-Za-z0-9])", "<h>"), "[0-9]+", "<n>")
 
 
-def template_tree(urls: DataFrame, levels: int = 4, fan_out: int = 20, thin: float = 5.0, z: float = 1.96, prior: float = 0.5, strength: float = 2.0, min_labels: int = 5, purity: float = 0.8) -> DataFrame:
+def template_tree(urls: DataFrame, levels: int = 4, fan_out: int = 20, thin: float = 5.0, z: float = 1.96, prior: float = 0.5, strength: float = 2.0, min_labels: int = 5, min_hosts: int = 3, purity: float = 0.8) -> DataFrame:
     """Templates of `urls` (host, shape, label: block, allow or null).
 
     Returns host, shape, template, labelled, share (smoothed share of block
-    labels), rejected. Segments beyond `levels` stay as their shape has them.
+    labels), rejected, one row for each host and shape. Segments beyond `levels`
+    stay as their shape has them.
     """
     leaves = (
         urls.groupBy("host", "shape")
@@ -79,10 +87,13 @@ def template_tree(urls: DataFrame, levels: int = 4, fan_out: int = 20, thin: flo
         leaves = materialized(leaves.withColumn("done", F.when(F.col("segment").isNull(), F.col("done")).otherwise(F.concat("done", F.lit("/"), "chosen"))).drop("segment", "chosen"))
     rest = F.slice("segments", levels + 2, F.greatest(F.size("segments") - levels - 1, F.lit(0)))
     leaves = leaves.withColumn("template", F.when(F.size(rest) > 0, F.concat("done", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("done")))
-    stats = leaves.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    share = (F.col("bad") + strength * prior) / (F.col("labelled") + strength)
-    stats = stats.select("host", "template", "labelled", share.alias("share"), ((F.col("labelled") >= min_labels) & (share >= purity)).alias("rejected"))
-    return leaves.select("host", "shape", "template").join(stats, ["host", "template"])
+    stats = leaves.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("labelled").alias("t_labelled"))
+    pooled = leaves.groupBy("shape").agg(F.sum("bad").alias("s_bad"), F.sum("labelled").alias("s_labelled"), F.count_if(F.col("labelled") > 0).alias("s_hosts"))
+    out = leaves.select("host", "shape", "template").join(stats, ["host", "template"]).join(pooled, "shape")
+    elsewhere = (F.col("s_bad") + strength * prior) / (F.col("s_labelled") + strength)
+    share = (F.col("t_bad") + strength * elsewhere) / (F.col("t_labelled") + strength)
+    known = (F.col("t_labelled") >= min_labels) | (F.col("s_labelled") >= min_labels) & (F.col("s_hosts") >= min_hosts)
+    return out.select("host", "shape", "template", F.col("t_labelled").alias("labelled"), share.alias("share"), (known & (share >= purity)).alias("rejected"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", **tree) -> DataFrame:
@@ -92,7 +103,8 @@ def filter_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None,
     default the urls that a rule decides are the labelled ones.
     Returns `id_col`, host, path, rule, verdict, template, share.
     Null urls and urls without :// have empty host and path and are judged by
-    that empty template (allow unless labelled otherwise). Null ids and repeated
+    that empty template (allow unless labelled otherwise). Ties of a share with
+    `purity` are rejected. Null ids and repeated
     rows stay; an empty table gives an empty result; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))

@@ -1,11 +1,13 @@
+import random
 import re
-from collections import Counter
+import time
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.llm.html import extract_main_text, main_text
-from chronoframe.llm.licenses import BASE, scan_licenses
+from chronoframe.llm.licenses import BASE, NOTICES, Index, scan_licenses, templates
 from chronoframe.llm.urls import RULES, filter_urls
 
 TEXTS = [
@@ -33,6 +35,40 @@ def test_license_base_is_complete(spark):
     assert scan_licenses(df.limit(0)).count() == 0
 
 
+def test_license_labels_equal_brute_force():
+    """Every template at every start whose mandatory phrases stand in place, with its weight's share."""
+    made, rng = templates(), random.Random(5)
+    vocabulary = sorted({w for x in made for w in x.words})
+    index = Index(made, {w: rng.random() for w in vocabulary})
+    for case in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):  # whole templates, or with a word changed
+            x = list(rng.choice(made).words)
+            if rng.random() < 0.5:
+                x[rng.randrange(len(x))] = b"changed"
+            at = rng.randint(0, len(words))
+            words[at:at] = x
+        want = set()
+        for t, x in enumerate(made):
+            for start in range(-len(x.words), len(words)):
+                if all(start + o >= 0 and tuple(words[start + o : start + o + len(k)]) == k for o, k in x.keys):
+                    want.add((t, start))
+        assert [f[:2] for f in index.scan(words)] == sorted(want), case
+
+
+def test_license_whole_texts(spark):
+    rows = [(i, "Copyright 2020 X. " + text.capitalize() + ".") for i, (_, text, _) in enumerate(NOTICES)]
+    got = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _, _) in enumerate(NOTICES):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == pytest.approx(1.0)
+
+
+def test_license_long_text(spark):
+    text = ("filler " * 200_000) + "all rights reserved " + ("cc by " * 1000)
+    r = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (202_003, 1001, 200_000, 202_001)
+
+
 def _rule(url):
     if not url or "://" not in url:
         return "", "", None, None
@@ -68,6 +104,81 @@ def test_url_tree_merges_similar(spark):
     assert {(r["template"], r["verdict"]) for r in got} == {("/+/page-<n>", "block")}
 
 
+def _tree(known, levels=4, fan_out=20, thin=5.0, z=1.96, prior=0.5, strength=2.0, min_labels=5, min_hosts=3, purity=0.8):
+    """Brute force of the tree over (host, shape, label): (host, shape) -> template, share, rejected."""
+    leaves = {}
+    for host, path, label in known:
+        x = leaves.setdefault((host, path), {"n": 0, "bad": 0, "lab": 0, "left": path.split("/")[1:], "done": ""})
+        x["n"] += 1
+        x["bad"] += label == "block"
+        x["lab"] += label is not None
+    for _ in range(levels):
+        parents = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+        for (host, _), x in leaves.items():
+            if x["left"]:
+                b = parents[host, x["done"]][x["left"][0]]
+                for i, k in enumerate(("n", "bad", "lab")):
+                    b[i] += x[k]
+        chosen = {}
+        for parent, branches in parents.items():
+            n, bad, lab = (sum(b[i] for b in branches.values()) for i in range(3))
+            for segment, (_, b_bad, b_lab) in branches.items():
+                near = lab and b_lab and sum(b[2] > 0 for b in branches.values()) > 1 and abs(b_bad - b_lab * bad / lab) <= z * (b_lab * bad / lab * (1 - bad / lab)) ** 0.5
+                chosen[parent, segment] = "*" if len(branches) >= fan_out and n < thin * len(branches) else "+" if near else segment
+        for (host, _), x in leaves.items():
+            if x["left"]:
+                x["done"] += "/" + chosen[(host, x["done"]), x["left"].pop(0)]
+    own, pooled = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0, 0])
+    for (host, path), x in leaves.items():
+        x["template"] = "/".join([x["done"], *x["left"]])
+        for i, v in enumerate((x["bad"], x["lab"])):
+            own[host, x["template"]][i] += v
+        for i, v in enumerate((x["bad"], x["lab"], x["lab"] > 0)):
+            pooled[path][i] += v
+    out = {}
+    for (host, path), x in leaves.items():
+        (bad, lab), (p_bad, p_lab, hosts) = own[host, x["template"]], pooled[path]
+        share = (bad + strength * (p_bad + strength * prior) / (p_lab + strength)) / (lab + strength)
+        out[host, path] = x["template"], share, (lab >= min_labels or p_lab >= min_labels and hosts >= min_hosts) and share >= purity
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    rng = random.Random(9)
+    urls = []
+    for i in range(1500):
+        host = rng.choice(["big.test"] * 6 + [f"h{k}.test" for k in range(6)])
+        first = rng.choice(["tag", "shop", "news", "a", "b"])
+        rest = rng.choice([f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}", "x", f"id-{i}", ""])
+        urls.append((host, f"/{first}/{rest}" + rng.choice(["", "/deep/er/and/more"])))
+    rates = {"tag": 0.95, "shop": 0.9, "news": 0.05, "a": 0.5, "b": 0.5}
+    labels = [(f"http://{h}{p}", "block" if rng.random() < rates[p.split("/")[1]] else "allow") for h, p in urls if h != "h0.test" and rng.random() < 0.4]
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    got = filter_urls(df, rules=[], labels=spark.createDataFrame(labels, "url string, label string")).collect()
+    generalised = lambda p: re.sub("[0-9]+", "<n>", p)
+    known = [(h, generalised(p), None) for h, p in urls] + [(u[7:].split("/", 1)[0], generalised("/" + u[7:].split("/", 1)[1]), x) for u, x in labels]
+    want = _tree(known)
+    for r in got:
+        template, share, rejected = want[r["host"], generalised(r["path"])]
+        assert (r["template"], r["verdict"]) == (template, "block" if rejected else "allow") and r["share"] == pytest.approx(share)
+    assert {r["verdict"] for r in got if r["host"] == "h0.test"} == {"allow", "block"}  # a host without labels is judged by the others
+
+
+def test_url_without_rule_is_judged_by_other_hosts(spark):
+    """Rules alone label the urls; a section that every labelled host has blocked is blocked elsewhere too."""
+    rules = [("block", f"h{i}.test", "/ads/") for i in range(4)] + [("allow", f"h{i}.test", "/doc/") for i in range(4)]
+    rows = [(100 * i + j, f"http://h{i}.test/{d}/{j}") for i in range(5) for j in range(10) for d in ("ads", "doc")]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()
+    assert {(r["rule"], r["path"][1:4], r["verdict"]) for r in got if r["host"] == "h4.test"} == {(None, "ads", "block"), (None, "doc", "allow")}
+
+
+def test_url_literal_wildcards_are_no_templates(spark):
+    rows = [(i, f"http://s.test/{d}/q") for i, d in enumerate(["a", "b"] * 20)] + [(90 + i, f"http://s.test/{d}/q") for i, d in enumerate("+*")]
+    labels = [(u, "block") for i, u in rows if i < 90]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=spark.createDataFrame(labels, "url string, label string")).collect()
+    assert {r["verdict"] for r in got if r["page_id"] >= 90} == {"allow"} and {r["verdict"] for r in got if r["page_id"] < 90} == {"block"}
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="ad">Buy &amp; save on this very long advert text that goes on and on and on for quite some time indeed.</div><article><h1>Title &eacute;</h1><p>One<br>two  three
  four &lt;b&gt;.<p>Hm.</p><aside>Related things</aside><p>Last &#8212; one.</p><div id="comments"><p>First!</p></div></article><form><p>Mail</p></form><footer>&copy; x</footer></body></html>"""
@@ -115,6 +226,25 @@ def test_html_without_article_keeps_short_and_linked_blocks():
     assert main_text(short).startswith("Title") and main_text(short).count("word") == 18
 
 
+def test_html_surge_and_window_decide():
+    assert main_text(PAGE, surge=10**9) == ""  # inside a marked article, too
+    block = lambda c, n: f"<p>{c * n}</p>"
+    page = f"<body>{block('a', 30)}{block('b', 30)}<nav>x</nav>{block('c', 50)}<p></p>{block('d', 50)}</body>"
+    assert main_text(page) == "c" * 50 + "\n\n" + "d" * 50
+    assert main_text(page, window=1) == "" and main_text(page, surge=55).startswith("aaa")
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '", "<!", "<!--", "<p", "<", "<script>", "<svg", "</script", "<a b='\"", "&amp", "<div class=ad>", "<p>"])
+def test_html_scan_is_linear(part):
+    def seconds(n):
+        start = time.process_time()
+        main_text(part * n)
+        main_text(part * n + ">" + "tail " * n)
+        return time.process_time() - start
+
+    assert seconds(40_000) < 12 * seconds(10_000) + 0.2
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (1, "u", PAGE, 5), (2, None, None, 1)], "page_id long, url string, html string, n_chars int")
     got = Counter((r["page_id"], r["url"], r["n_chars"]) for r in extract_main_text(df).collect())

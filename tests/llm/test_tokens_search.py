@@ -99,3 +99,30 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(tuple(r) for r in top_k(df, groups=3).collect()) == sorted(want)
     assert top_k(df.limit(0)).count() == 0
     assert top_k(df.filter(F.col("vec_id") < 3)).count() == 2
+
+
+def test_top_k_of_huge_components_is_exact(spark):
+    """Sums beyond 2**53 are taken in whole numbers; scores beyond 64 bits become the nearest long."""
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1, 1]) * float(rng.randint(1, 2**52)) for _ in range(4)]) for i in range(101)] + [(101, [1e18] * 4), (102, [-1e18] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, scale=1).collect()}
+    for q, v in rows:
+        if q % 50 == 0:
+            s = sorted((-max(min(sum(int(a) * int(b) for a, b in zip(v, w, strict=True)), 2**63 - 1), -(2**63)), i) for i, w in rows if i != q)
+            assert [got[q, k] for k in range(1, 6)] == [(i, -x) for x, i in s[:5]]
+
+
+def test_top_k_carries_scores_over_shards(spark, monkeypatch):
+    from chronoframe.llm import search
+
+    monkeypatch.setattr(search, "SHARD", 16)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (300, 8)).astype(float)  # many ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for groups in (1, 3, None):
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, scale=1, groups=groups).collect()}
+        for q in range(0, 300, 50):
+            best = sorted((-int(x[q] @ x[i]), i) for i in range(300) if i != q)[:5]
+            assert [got[q, k] for k in range(1, 6)] == [(i, -s) for s, i in best]
