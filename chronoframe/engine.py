@@ -5,20 +5,24 @@ from __future__ import annotations
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoframe.errors import QueryError
 from chronoframe.functions import codec
 from chronoframe.operators import metadata
+from chronoframe.operators.matchers import all_of, in_range
 from chronoframe.plans.compiler import Compiler
 
 
 class SampleSource(Protocol):
-    """What the engine reads: anything that gives a samples DataFrame."""
+    """What the engine reads: all samples, and those of a metric in a range whose series match."""
 
     spark: SparkSession
 
     def samples(self) -> DataFrame: ...
 
+    def scan(self, name: str, start: int, end: int, matchers=()) -> DataFrame: ...
+
 
 class FrameSource:
     """A source over one samples DataFrame."""
@@ -29,6 +33,10 @@ class FrameSource:
     def samples(self) -> DataFrame:
         return self._df
 
+    def scan(self, name: str, start: int, end: int, matchers=()) -> DataFrame:
+        """Plain predicates: Catalyst takes them to whatever the frame reads."""
+        return self._df.filter((F.col("name") == name) & in_range(start, end) & all_of(matchers))
+
 
 class Engine:
     """Lazy results; nothing runs before an action.

@@ -9,7 +9,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,29 +117,79 @@ def decode(chunk: bytes | None) -> Iterator[tuple[int, float]]:
 
 
 CHUNKS = "series_key string, name string, chunk_start bigint, points bigint, min_ts bigint, max_ts bigint, chunk binary"
+POINTS = "series_key string, name string, ts bigint, value double"
+#: Chunks, and decoded points, that leave in one batch.
+OUT_CHUNKS, OUT_POINTS = 1024, 65_536
 
 
-def encode_chunks(df: DataFrame, width_ms: int = 86_400_000) -> DataFrame:
-    """One chunk for each series and time block. The width bounds what one group brings into memory."""
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
+
 
-    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        ts = pdf["ts"].tolist()
-        return pd.DataFrame([(pdf["series_key"].iat[0], pdf["name"].iat[0], int(pdf["chunk_start"].iat[0]), len(ts), ts[0], ts[-1], encode(zip(ts, pdf["value"].tolist(), strict=True)))], columns=[c.split()[0] for c in CHUNKS.split(", ")])
+def encode_chunks(df: DataFrame, width_ms: int = 86_400_000) -> DataFrame:
+    """One chunk for each series and time block.
+
+    Rows meet by series and block and are sorted in Spark, so a task reads the runs
+    of equal keys as a stream and holds the points of one run; the width bounds them.
+    """
+    schema = _schema(CHUNKS)
+
+    def runs(batches):
+        key = name = start = None
+        ts, values = [], []
+        for batch in batches:
+            keys, names, starts = (batch.column(i).to_pylist() for i in range(3))
+            times, points = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            at = 0
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or starts[i] != starts[i - 1]]
+            for end in [*cuts, len(keys)] if keys else []:
+                if (keys[at], starts[at]) != (key, start):
+                    if ts:
+                        yield key, name, start, ts, values
+                    key, name, start, ts, values = keys[at], names[at], starts[at], [], []
+                ts += times[at:end]
+                values += points[at:end]
+                at = end
+        if ts:
+            yield key, name, start, ts, values
+
+    def packed(batches):
+        held = []
+        for key, name, start, ts, values in runs(batches):
+            held.append((key, name, start, len(ts), ts[0], ts[-1], encode(zip(ts, values, strict=True))))
+            if len(held) >= OUT_CHUNKS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
     start = F.expr(f"ts div {int(width_ms)}") * int(width_ms)
-    return df.select("series_key", "name", "ts", "value", "seq", start.alias("chunk_start")).groupBy("series_key", "chunk_start").applyInPandas(packed, CHUNKS)
+    rows = df.select("series_key", "name", start.alias("chunk_start"), "ts", "value", "seq")
+    rows = rows.repartition("series_key", "chunk_start").sortWithinPartitions("series_key", "chunk_start", "ts", "seq")
+    return rows.select("series_key", "name", "chunk_start", "ts", "value").mapInArrow(packed, CHUNKS)
 
 
 def decode_chunks(chunks: DataFrame) -> DataFrame:
-    """series_key, name, ts, value of all points, a few chunks at a time."""
+    """series_key, name, ts, value of all points, OUT_POINTS or one chunk's at a time."""
+    schema = _schema(POINTS)
 
     def points(batches):
-        for pdf in batches:
-            for key, name, chunk in zip(pdf["series_key"], pdf["name"], pdf["chunk"], strict=True):
-                found = list(decode(bytes(chunk)))
-                if found:
-                    ts, values = zip(*found, strict=True)
-                    yield pd.DataFrame({"series_key": key, "name": name, "ts": ts, "value": values})
-
-    return chunks.select("series_key", "name", "chunk").mapInPandas(points, "series_key string, name string, ts bigint, value double")
+        keys, names, times, values = [], [], [], []
+        for batch in batches:
+            for key, name, chunk in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = list(decode(chunk))
+                if not found:
+                    continue
+                ts, v = zip(*found, strict=True)
+                keys += [key] * len(ts)
+                names += [name] * len(ts)
+                times += ts
+                values += v
+                if len(keys) >= OUT_POINTS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((keys, names, times, values), schema, strict=True)], schema=schema)
+                    keys, names, times, values = [], [], [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((keys, names, times, values), schema, strict=True)], schema=schema)
+
+    return chunks.select("series_key", "name", "chunk").mapInArrow(points, POINTS)

@@ -20,10 +20,29 @@ def series_key(name: Column, labels: Column) -> Column:
     return F.when(F.size(labels) > 0, F.concat(name, F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise(name)
 
 
-def samples(df: DataFrame, name: Column, labels: Column, ts: Column, value: Column, seq: Column) -> DataFrame:
-    """A samples DataFrame out of any table. Rows without a value are no samples."""
-    out = df.select(name.cast("string").alias("name"), labels.cast("map<string,string>").alias("labels"), ts.cast("long").alias("ts"), value.cast("double").alias("value"), seq.cast("long").alias("seq"))
-    return out.filter(F.col("value").isNotNull()).select("name", "labels", series_key(F.col("name"), F.col("labels")).alias("series_key"), "ts", "value", "seq")
+def samples(df: DataFrame, name: Column, labels: Column | dict[str, Column], ts: Column, value: Column, seq: Column) -> DataFrame:
+    """A samples DataFrame out of any table. Rows without a value are no samples.
+
+    labels: a map, or columns by label name. With these, which are never null, keys
+    are plain concatenations in the names' order instead of a sort for each row.
+    """
+    columns = ["name", "labels", "series_key", "ts", "value", "seq"]
+    rest = [ts.cast("long").alias("ts"), value.cast("double").alias("value"), seq.cast("long").alias("seq")]
+    if isinstance(labels, dict):
+        texts = {k: c.cast("string") for k, c in sorted(labels.items())}
+        pairs = [x for i, (k, c) in enumerate(texts.items()) for x in (F.lit(("," if i else "{") + k + "="), c)]
+        key = F.concat(name.cast("string"), *pairs, F.lit("}")) if texts else name.cast("string")
+        made = F.create_map(*[x for k, c in texts.items() for x in (F.lit(k), c)]) if texts else F.expr("map()")
+        out = df.select(name.cast("string").alias("name"), made.cast("map<string,string>").alias("labels"), key.alias("series_key"), *rest)
+    else:
+        out = df.select(name.cast("string").alias("name"), labels.cast("map<string,string>").alias("labels"), *rest)
+        out = out.withColumn("series_key", series_key(F.col("name"), F.col("labels"))).select(*columns)
+    return out.filter(F.col("value").isNotNull())
+
+
+def distinct_series(df: DataFrame) -> DataFrame:
+    """series_key, name, labels of every series."""
+    return df.groupBy("series_key", "name", "labels").count().drop("count")
 
 
 def label(name: str) -> Column:

@@ -24,8 +24,12 @@ REDUCE = {"sum": F.sum, "avg": F.avg, "max": greatest, "min": least, "count": la
 
 
 def first_at(df: DataFrame, *carried: str) -> DataFrame:
-    """Of several samples of a series at one timestamp the first that arrived."""
-    return df.groupBy("series_key", "ts").agg(*[F.min_by(c, "seq").alias(c) for c in (*carried, "value")])
+    """Of several samples of a series at one timestamp the first that arrived.
+
+    What is carried depends on the series alone and is part of the key, so that the
+    buffers hold numbers only and a hash aggregate does.
+    """
+    return df.groupBy("series_key", "ts", *carried).agg(F.min_by("value", "seq").alias("value"))
 
 
 def _named(df: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -88,7 +92,7 @@ def rate(df: DataFrame) -> DataFrame:
     gain = F.when(F.col("before").isNull(), F.lit(0.0)).when(~F.isnan(rise) & (rise >= 0), rise).otherwise(F.col("value"))
     out = df.withColumn("before", before).withColumn("gain", gain)
     span = (F.max("ts") - F.min("ts")) / 1000.0
-    out = out.groupBy("series_key").agg(F.any_value("name").alias("name"), F.any_value("labels").alias("labels"), F.max("ts").alias("ts"), (F.sum("gain") / F.nullif(span, F.lit(0.0))).alias("value"), F.count("*").alias("n"))
+    out = out.groupBy("series_key", "name", "labels").agg(F.max("ts").alias("ts"), (F.sum("gain") / F.nullif(span, F.lit(0.0))).alias("value"), F.count("*").alias("n"))
     return out.filter("n >= 2 and value is not null").select("name", "labels", "series_key", "ts", "value", F.lit(0).cast("long").alias("seq"))
 
 

@@ -24,23 +24,18 @@ def with_literal(df: DataFrame, op: str, number: float) -> DataFrame:
     return df.withColumn("value", apply(op, F.col("value"), F.lit(float(number))))
 
 
-def _summary(df: DataFrame, prefix: str) -> DataFrame:
-    """One row: how many samples, capped at two, and the value if it is one."""
-    two = df.select("value").limit(2)
-    return two.agg(F.count("*").alias(f"{prefix}n"), F.max("value").alias(f"{prefix}v"))
-
-
 def combine(left: DataFrame, op: str, right: DataFrame) -> DataFrame:
     """The right side is tried as the scalar first, then the left; else the left side is the result.
 
-    Both summaries are one row each, so their broadcast joins multiply nothing.
+    Both sides stand in one tagged union; its summary is one row, so the broadcast
+    join multiplies nothing, and equal subplans are evaluated once by reuse.
     """
-    sums = F.broadcast(_summary(left, "l").join(_summary(right, "r")))
-    lefts = left.join(sums).filter((F.col("rn") == 1) | (F.col("ln") != 1))
-    lefts = lefts.withColumn("value", F.when(F.col("rn") == 1, apply(op, F.col("value"), F.col("rv"))).otherwise(F.col("value")))
-    rights = right.join(sums).filter((F.col("rn") != 1) & (F.col("ln") == 1))
-    rights = rights.withColumn("value", apply(op, F.col("lv"), F.col("value")))
-    return lefts.select(*COLUMNS).unionByName(rights.select(*COLUMNS))
+    both = left.select(*COLUMNS, F.lit(True).alias("__left")).unionByName(right.select(*COLUMNS, F.lit(False).alias("__left")))
+    mine, other = F.col("__left"), ~F.col("__left")
+    sums = both.agg(F.count_if(mine).alias("__ln"), F.count_if(other).alias("__rn"), F.max(F.when(mine, F.col("value"))).alias("__lv"), F.max(F.when(other, F.col("value"))).alias("__rv"))
+    out = both.join(F.broadcast(sums)).filter(F.when(mine, (F.col("__rn") == 1) | (F.col("__ln") != 1)).otherwise((F.col("__rn") != 1) & (F.col("__ln") == 1)))
+    value = F.when(other, apply(op, F.col("__lv"), F.col("value"))).when(F.col("__rn") == 1, apply(op, F.col("value"), F.col("__rv"))).otherwise(F.col("value"))
+    return out.withColumn("value", value).select(*COLUMNS)
 
 
 def matched(left: DataFrame, op: str, right: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.model import NAME, label
+from chronoframe.model import NAME, distinct_series, label
 
 #: Upper bounds of the latency buckets, in milliseconds.
 LATENCY_MS = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
@@ -13,8 +13,8 @@ LATENCY_MS = (1, 5, 10, 25, 50, 100, 250, 500, 1000)
 
 def series(df: DataFrame) -> DataFrame:
     """One row for each series: samples, first and last timestamp, and the value that arrived last."""
-    return df.groupBy("series_key").agg(
-        F.any_value("name").alias("name"), F.any_value("labels").alias("labels"), F.count("*").alias("sample_count"),
+    return df.groupBy("series_key", "name", "labels").agg(
+        F.count("*").alias("sample_count"),
         F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.max_by("value", "seq").alias("last_value"),
     )
 
@@ -97,7 +97,7 @@ def chart_bounds(df: DataFrame) -> DataFrame:
 
 def varying_labels(df: DataFrame) -> DataFrame:
     """Labels whose values differ among the result's series; a missing label counts as empty."""
-    each = df.groupBy("series_key").agg(F.any_value("labels").alias("labels"))
+    each = distinct_series(df).select("series_key", "labels")
     values = each.select(F.explode("labels").alias("label", "value")).groupBy("label").agg(F.countDistinct("value").alias("values"), F.count("*").alias("having"))
     total = each.agg(F.count("*").alias("total"))
     # the total is one row

@@ -6,6 +6,8 @@ show labels as string columns and floats rounded, so that they compare by value.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +17,13 @@ from chronoframe.engine import Engine
 from chronoframe.functions import codec
 from chronoframe.functions.sharding import Ring, fnv1a32, shard
 from chronoframe.operators import matchers, metadata, output, rollup
-from chronoframe.sources import generator, requests, tables
+from chronoframe.sources import generator, requests, store, tables
 
 DAY = 86_400_000
 T0 = 1_704_067_200_000  # 2024-01-01
-START, END = T0 + 8 * DAY, T0 + 20 * DAY
+#: The whole table, and a part of it for the queries whose feature is the range.
+START, END = T0, T0 + 30 * DAY
+PART = T0 + 8 * DAY
 
 #: The sources in DuckDB.
 RAW = "raw as (select event_type as name, cast(user_id as varchar) as usr, event_type || '{user=' || user_id || '}' as series_key, epoch_us(ts) // 1000 as ts, value, event_id as seq from events)"
@@ -67,8 +71,9 @@ _text("match_re", tables.events_raw, 'view{user=~"1.*|2"}', METRIC_USER, _raw(f"
 _text("match_nre", tables.events_raw, 'view{user!~"1.*|2"}', METRIC_USER, _raw(f"name = 'view' and not regexp_full_match(usr, '1.*|2') and {_between()}"))
 _text("match_multi", tables.events_raw, 'error{user=~"[0-9]",user!="3",user!~"[45]"}', METRIC_USER, _raw(f"name = 'error' and length(usr) = 1 and usr not in ('3', '4', '5') and {_between()}"))
 _text("match_absent", tables.events_raw, 'view{host!="a"}', METRIC_USER, _raw("false"))
-_text("time_range", tables.events_raw, "purchase", METRIC_USER, _raw(f"name = 'purchase' and {_between(START, START + DAY)}"), START, START + DAY)
-_text("range_selector", tables.events_raw, "signup[1d]", METRIC_USER, _raw(f"name = 'signup' and {_between(START - 2 * DAY)}"))
+_text("time_range", tables.events_raw, "purchase", METRIC_USER, _raw(f"name = 'purchase' and {_between(PART, PART + DAY)}"), PART, PART + DAY)
+_text("range_selector", tables.events_raw, "signup[1d]", METRIC_USER, _raw(f"name = 'signup' and {_between(PART - 2 * DAY, PART + 12 * DAY)}"), PART, PART + 12 * DAY)
+_text("match_re2", tables.events_raw, r'view{user=~"[[:digit:]]\\pN?"}', METRIC_USER, _raw(f"name = 'view' and length(usr) <= 2 and {_between()}"))
 
 _rate_src = f"src as (select * from counter where name = 'view_total' and {_between(START - 2 * DAY)})"
 _text("rate", tables.events_counter, "rate(view_total[1d])", METRIC_USER, f"with {COUNTER % ''}, {_rate_src}, {RATE} select name as metric, usr, ts, round(value, 6) as value from rates")
@@ -164,9 +169,24 @@ def _search(spark, d):
     return tables.events_raw(spark, d).filter(matchers.name_contains("I")).select("name").distinct()
 
 
-@_query("stats", f"with {RAW} select count(*) as samples, count(distinct series_key) as series, min(ts) as min_ts, max(ts) as max_ts, count(*) * 16 as raw_bytes, cast(1000 as bigint) as chunk_bytes, cast(4000 as bigint) as disk_bytes, count(*) * 16 / 1000.0::double as compression_ratio from raw")
+_COUNTS = "count(*) as samples, count(distinct series_key) as series, min(ts) as min_ts, max(ts) as max_ts, count(*) * 16 as raw_bytes"
+
+
+@_query("stats", f"with {RAW} select {_COUNTS} from raw")
 def _stats(spark, d):
-    return metadata.stats(tables.events_raw(spark, d), 1000, 4000)
+    return metadata.stats(tables.events_raw(spark, d)).select("samples", "series", "min_ts", "max_ts", "raw_bytes")
+
+
+@_query("stats_sizes")
+def _stats_sizes(spark, d):
+    return Engine(tables.events_raw(spark, d)).stats(DAY)
+
+
+@_query("cluster_stats", f"with {RAW} select count(*) as samples, count(distinct series_key) as series, count(*) * 16 as raw_bytes, cast(0 as bigint) as chunk_bytes, cast(0 as bigint) as disk_bytes, cast(0 as double) as compression_ratio from raw")
+def _cluster_stats(spark, d):
+    nodes = tables.events_raw(spark, d).withColumn("node", shard(F.col("name"), 3)).groupBy("node").agg(F.count("*").alias("samples"), F.countDistinct("series_key").alias("series"))
+    zero = F.lit(0).cast("long")
+    return metadata.cluster_stats(nodes.select("node", "samples", "series", (F.col("samples") * 16).alias("raw_bytes"), zero.alias("chunk_bytes"), zero.alias("disk_bytes")))
 
 
 @_query("result_stats", f"with {RAW} select count(distinct series_key) as series, count(*) as samples from raw where name = 'view' and {_between()}")
@@ -260,19 +280,64 @@ def _csv(spark, d):
     return output.to_csv(Engine(tables.events_raw(spark, d)).query("view", START, END))
 
 
-@_query("output_matrix")
+_MATRIX = f"""with {RAW} select series_key, '{{"name":"' || name || '","labels":{{"__name__":"' || name || '","user":"' || usr || '"}},"values":[' || string_agg('[' || ts || ',' || cast(value as varchar) || ']', ',' order by ts, value) || ']}}' as json from raw where name = 'view' and {_between()} group by series_key, name, usr"""
+
+
+@_query("output_matrix", _MATRIX)
 def _matrix(spark, d):
     return output.to_matrix(Engine(tables.events_raw(spark, d)).query("view", START, END))
 
 
+@_query("output_envelope", f"""with m as ({_MATRIX}) select '' as at, '{{"status":"success","data":{{"resultType":"matrix","result":[' as text union all select ' ' || series_key, case when series_key = (select min(series_key) from m) then '' else ',' end || json from m union all select '~', ']}}}}'""")
+def _envelope(spark, d):
+    return output.to_envelope(Engine(tables.events_raw(spark, d)).query("view", START, END))
+
+
 @_query("generator")
 def _generated(spark, d):
     return generator.generate(spark, T0, 100).select("series_key", "ts", "value")
 
 
-@_query("exposition")
+@_query("codec_patterns")
+def _patterns(spark, d):
+    both = [codec.encode_chunks(generator.pattern(spark, 20_000, k)).groupBy("name").agg(F.sum("points").alias("points"), F.sum(F.length("chunk")).alias("chunk_bytes")) for k in generator.PATTERNS]
+    return both[0].union(both[1]).union(both[2])
+
+
+@_query("exposition", f"with {RAW}, s as (select {_COUNTS} from raw) select '# TYPE chronoframe_' || k || ' gauge' || chr(10) || 'chronoframe_' || k || ' ' || v as line from (unpivot s on samples, series, min_ts, max_ts, raw_bytes into name k value v)")
 def _exposition(spark, d):
-    return output.exposition(Engine(tables.events_raw(spark, d)).stats(DAY))
+    return output.exposition(_stats(spark, d))
+
+
+@_query("exposition_sizes")
+def _exposition_sizes(spark, d):
+    return output.exposition(_stats_sizes(spark, d))
+
+
+def _stored(spark: SparkSession, d: str) -> store.Store:
+    """The events in a storage layout of their own, written in three batches."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="chronoframe-")
+    path = f"{folder}/store-{uuid.uuid4().hex}"
+    df = tables.events_raw(spark, d)
+    for i in range(3):
+        store.write(df.filter(F.col("seq") % 3 == i), path)
+    return store.Store(spark, path)
+
+
+@_query("stored_range", _raw(f"name = 'view' and usr like '1%' and {_between(PART, PART + 2 * DAY)}"))
+def _stored_range(spark, d):
+    return shown(Engine(_stored(spark, d)).query('view{user=~"1.*"}', PART, PART + 2 * DAY), **METRIC_USER)
+
+
+@_query("stored_blocks", f"with {RAW} select min(ts) as min_time, max(ts) as max_time, count(*) as num_samples, count(distinct series_key) as num_series, 2 as level from raw group by ts // {DAY}")
+def _stored_blocks(spark, d):
+    own = _stored(spark, d)
+    own.compact()
+    return own.blocks().drop("block_id")
 
 
 def queries():

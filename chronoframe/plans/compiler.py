@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from chronoframe.errors import QueryError
 from chronoframe.model import NAME, SAMPLES
 from chronoframe.operators import aggregates, arithmetic
-from chronoframe.operators.matchers import all_of, in_range
 from chronoframe.plans.nodes import Aggregate, Binary, Call, Number, Selector, longest_range
 from chronoframe.plans.parser import parse
 
@@ -43,7 +42,7 @@ class Compiler:
 
     def _selector(self, node: Selector):
         start, end = effective_range(self.root, node, self.start, self.end)
-        rows = self.source.samples().filter((F.col("name") == node.name) & in_range(start, end) & all_of(node.matchers))
+        rows = self.source.scan(node.name, start, end, node.matchers)
         return rows.withColumn("labels", F.map_concat(F.map_filter("labels", lambda k, _: k != NAME), F.create_map(F.lit(NAME), F.col("name")))), False
 
     def _call(self, node: Call):

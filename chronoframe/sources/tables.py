@@ -13,7 +13,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _user():
-    return F.create_map(F.lit("user"), F.col("user_id").cast("string"))
+    return {"user": F.col("user_id")}
 
 
 def events_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,10 @@ def events_counter(spark: SparkSession, sf_dir: str, modulo: int | None = None)
 
 
 def lineitem_ship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items' quantities at their ship date: many samples of a series at one timestamp."""
-    labels = F.create_map(F.lit("returnflag"), F.col("l_returnflag"), F.lit("linestatus"), F.col("l_linestatus"))
+    """Line items' quantities at their ship date: many samples of a series at one timestamp.
+
+    The table holds no order of arrival. Order and line number stand in for it, and
+    the quantity settles the few rows that agree in both: a tie by value.
+    """
+    labels = {"returnflag": F.col("l_returnflag"), "linestatus": F.col("l_linestatus")}
     return samples(read(spark, sf_dir, "lineitem"), F.lit("l_quantity"), labels, millis("l_shipdate"), F.col("l_quantity"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long"))

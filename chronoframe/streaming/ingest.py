@@ -9,34 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from chronoframe.model import SAMPLES
 from chronoframe.operators.aggregates import greatest, least
 from chronoframe.sources import requests, store
 
 
+#: Milliseconds from the epoch to 2020, and bits of the order of files: over 34 years of milliseconds.
+SINCE = 1_577_836_800_000
+
+
 def request_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
-    """Samples of write requests, one JSON object to a line, in files as they arrive."""
-    return requests.parse(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
+    """Samples of write requests, one JSON object to a line, in files as they arrive.
+
+    Samples arrive in the order of their files' modification times and then as they
+    stand in the file. A file is read whole, so it must fit in a task.
+    """
+    files = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("wholetext", True).text(path)
+    at = F.unix_millis("_metadata.file_modification_time") - SINCE
+    return requests.parse(files.select(F.split("value", "\n").alias("lines"), F.greatest(at, F.lit(0)).alias("at")), "lines", "at")
 
 
-def land(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append a samples stream to the storage layout.
+def land(stream: DataFrame, path: str, checkpoint: str, rows_per_file: int = 5_000_000, **trigger) -> StreamingQuery:
+    """Append a samples stream to the storage layout, a batch of it for each micro-batch.
 
-    A batch that is run again after a failure overwrites its own directory only,
-    so nothing is written twice.
+    A micro-batch that is run again after a failure overwrites its own batch only,
+    so nothing is written twice. A batch is written when the trigger says so or,
+    under `availableNow`, as often as the source's files for each trigger ask.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.write(batch, path, mode="overwrite", table=f"batch={number}")
+            store.write(batch, path, f"stream-{number}", rows_per_file=rows_per_file)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
     """All samples that `land` has written."""
-    rows = spark.read.schema(SAMPLES + ", batch long, day int").parquet(path)
-    return rows.select(*[c.split()[0] for c in SAMPLES.split(", ")])
+    return store.Store(spark, path).samples()
+
+
+def writer_stats(query: StreamingQuery, spark: SparkSession, path: str) -> DataFrame:
+    """What a landing query has done, in one row: total_ingested, total_batches, total_errors.
+
+    Samples and batches are counted where they stand, those of queries before a
+    restart included; an error ends a query, so there is at most one.
+    """
+    rows = store.Store(spark, path)._rows().filter(F.col("batch").startswith("stream-"))
+    failed = int(query.exception() is not None)
+    return rows.agg(F.count("*").alias("total_ingested"), F.countDistinct("batch").alias("total_batches")).select("*", F.lit(failed).cast("long").alias("total_errors"))
 
 
 def rollup_stream(stream: DataFrame, width_ms: int, late: str = "10 minutes") -> DataFrame:

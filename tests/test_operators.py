@@ -138,10 +138,41 @@ def test_requests(spark):
     assert [(r["series_key"], r["ts"], r["value"]) for r in requests.parse(df, order="n").orderBy("ts").collect()] == [("m{a=2}", 5, 1.5), ("m{a=2}", 6, 2.0)]
 
 
+def test_requests_keep_their_order(spark):
+    one = lambda v: {"name": "m", "labels": [], "samples": [{"timestamp_ms": 5, "value": v}]}
+    texts = [json.dumps({"time_series": [one(1), one(2)]}), json.dumps({"time_series": [one(3)]})]
+    for df, order in ((spark.createDataFrame([(7, texts[0]), (9, texts[1])], "n int, value string"), "n"), (spark.createDataFrame([(t,) for t in texts], "value string").coalesce(1), None)):
+        got = requests.parse(df, order=order).orderBy("seq").collect()
+        assert [r["value"] for r in got] == [1, 2, 3] and len({r["seq"] for r in got}) == 3
+        assert Engine(requests.parse(df, order=order)).query("sum(m)", 0, 9).first()["value"] == 1
+    together = spark.createDataFrame([(texts, 4)], "value array<string>, n int")
+    assert [r["value"] for r in requests.parse(together, order="n").orderBy("seq").collect()] == [1, 2, 3]
+
+
+def test_output_envelope(make):
+    df = make([("m", {"k": k}, t, t / 2) for k in "ab" for t in (1, 2)])
+    pieces = output.to_envelope(Engine(df).query("m", 0, 9)).orderBy("at").collect()
+    got = json.loads("".join(r["text"] for r in pieces))
+    assert got["status"] == "success" and got["data"]["resultType"] == "matrix"
+    assert [(s["labels"]["k"], s["values"]) for s in got["data"]["result"]] == [("a", [[1, 0.5], [2, 1.0]]), ("b", [[1, 0.5], [2, 1.0]])]
+    empty = output.to_envelope(Engine(df).query("none", 0, 9)).orderBy("at").collect()
+    assert json.loads("".join(r["text"] for r in empty))["data"]["result"] == []
+    assert json.loads(output.error_envelope(df.sparkSession, 'no "such"').first()["text"]) == {"status": "error", "error": 'no "such"'}
+
+
+def test_plans_hash(make):
+    """Aggregates over duplicates hash; an operand of arithmetic is read twice at most."""
+    df = make([("m", {"k": str(i % 3)}, i // 2, i) for i in range(20)])
+    plan = lambda q: Engine(df).query(q, 0, 99)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan("sum(m) by (k)") and "HashAggregate" in plan("sum(m) by (k)")
+    assert plan("m / max(m)").count("Scan") <= 4 and plan("m / max(m)").count("NestedLoop") == 1
+    assert "SortAggregate" not in Engine(df).series()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_output(make):
     res = Engine(make([("m", {"k": "v"}, 3_600_000, 1.5), ("m", {"k": "v"}, 3_601_000, math.nan)])).query("m", 0, 10**9)
     row = output.to_matrix(res).first()["json"]
-    assert row == '{"name":"m","labels":{"k":"v","__name__":"m"},"values":[[3600000,1.5],[3601000,NaN]]}'
+    assert row == '{"name":"m","labels":{"__name__":"m","k":"v"},"values":[[3600000,1.5],[3601000,NaN]]}'
     assert tuple(output.to_table(res).orderBy("timestamp").first()) == ("m{k=v}", "01:00:00", "1.5000")
     assert tuple(output.to_csv(res).orderBy("timestamp").first()) == ("m", 3_600_000, "1.500000")
 
@@ -150,25 +181,77 @@ def test_store_prunes(make, spark, tmp_path):
     day = store.DAY
     df = make([("m", {"h": h}, d * day + 5, d) for d in range(4) for h in "ab"] + [("n", {}, 5, 1)])
     store.write(df, str(tmp_path))
-    store.write_series(df, str(tmp_path))
     s = store.Store(spark, str(tmp_path))
-    from chronoframe.plans.nodes import Matcher
-
-    got = s.scan("m", day, 2 * day + 10, (Matcher("h", "=", "a"),))
+    got = Engine(s).query('m{h="a"}', day, 2 * day + 10)
     assert sorted((r["ts"], r["series_key"]) for r in got.collect()) == [(day + 5, "m{h=a}"), (2 * day + 5, "m{h=a}")]
     plan = got._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(name" in plan and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "day#" in x)
+    assert "(day#" in scan.split("PartitionFilters: [")[1].split("]")[0] and "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in scan
+    read = [f for f in got.inputFiles() if "/samples/" in f]
+    assert read and Engine(s).query("m", 0, 9).count() == 2
     assert Engine(s).query("sum(n)", 0, 9).first()["value"] == 1
+    assert Engine(s).series().count() == 3 and s.series().count() == 3
     assert s.expire(3 * day, day) == [0, 1] and s.scan("m", 0, 9 * day).count() == 4
+    assert sorted(r["series_key"] for r in s.series().collect()) == ["m{h=a}", "m{h=b}"]  # n has no sample left
+
+
+def test_store_blocks_and_compaction(make, spark, tmp_path):
+    day, path = store.DAY, str(tmp_path)
+    rows = [("m", {"h": h}, d * day + i, d + i) for d in range(2) for h in "ab" for i in range(5)]
+    whole = make(rows)
+    for i in range(3):
+        store.write(whole.filter(F.col("seq") % 3 == i), path, batch=f"b{i}")
+    store.write(whole.filter("seq % 3 = 1"), path, batch="b1")  # the same batch again replaces itself
+    s = store.Store(spark, path)
+    same = lambda: sorted(tuple(r) for r in s.samples().select("series_key", "ts", "value", "seq").collect())
+    before = same()
+    assert len(before) == 20 and s.blocks().count() == 6
+    (tmp_path / "samples" / "batch=b0" / "name=m" / "day=0" / "part-bad.parquet").write_bytes(b"no parquet")
+    assert len(store.Store(spark, path, skip_unreadable=True).samples().collect()) == 20
+    (tmp_path / "samples" / "batch=b0" / "name=m" / "day=0" / "part-bad.parquet").unlink()
+
+    # cut short before the new batch is whole: readers see the old ones
+    s._mark({"old": ["b0", "b1", "b2"], "new": "compacted-x", "done": False})
+    store.write(whole.limit(3), path, "compacted-x")
+    assert same() == before
+    assert s.compact().startswith("compacted-") and same() == before and not (tmp_path / "_compaction.json").exists()
+    assert {r["level"] for r in s.blocks().collect()} == {2} and s.compact() is None
+    # cut short after that: readers see the new one, and the next call removes the old ones
+    store.write(whole, path, "late")
+    s._mark({"old": [b for b in s._batches() if b != "late"], "new": "late", "done": True})
+    assert same() == before and s.compact() == "late" and same() == before
+    block = s.blocks().filter("min_time < 86400000").first()
+    assert s.delete_block(block["block_id"]) and not s.delete_block("late/77") and len(same()) == 10
 
 
 def test_generator(spark):
-    df = generator.generate(spark, 0, 50)
-    assert df.count() == 50 * len(generator.HOSTS) * len(generator.METRICS)
-    assert df.filter("name = 'cpu_usage_percent' and (value < 0 or value > 100)").isEmpty() and df.filter("name = 'error_ratio' and (value < 0 or value > 1)").isEmpty()
+    df = generator.generate(spark, 0, 400).cache()
+    assert df.count() == 400 * 43 and df.select(F.map_values("labels")).distinct().count() == 8
+    assert df.filter("name = 'cpu_percent' and (value < 0 or value > 100)").isEmpty() and df.filter("name like '%ratio' and (value < 0 or value > 1)").isEmpty()
     from pyspark.sql import Window
 
     fall = F.col("value") < F.lag("value").over(Window.partitionBy("series_key").orderBy("ts"))
     assert df.filter("name like '%_total'").withColumn("fall", fall).filter("fall").isEmpty()
     hours = spark.range(24).select("id", generator.diurnal(F.col("id") * 3_600_000).alias("d"))
     assert hours.orderBy(F.desc("d")).first()["id"] == 14
+    assert generator.generate(spark, 0, 5).drop("labels").exceptAll(df.drop("labels")).isEmpty()  # by seed
+    # memory drifts up until it is freed; a spike stands out and decays
+    before = F.lag("value").over(Window.partitionBy("series_key").orderBy("ts"))
+    steps = df.filter("name = 'cpu_percent'").withColumn("rise", F.col("value") - before)
+    assert steps.agg(F.max("rise")).first()[0] > 15
+
+
+def test_bench_patterns(spark):
+    from pyspark.sql import Window
+
+    for kind in generator.PATTERNS:
+        df = generator.pattern(spark, 3000, kind)
+        gap = F.col("ts") - F.lag("ts").over(Window.orderBy("ts"))
+        low, high = df.withColumn("gap", gap).agg(F.min("gap"), F.max("gap")).first()
+        assert (low, high) == (5000, 5000) if kind != "irregular" else 1000 <= low < 2000 and 30_000 < high <= 31_000
+        assert df.count() == 3000 and df.filter("value < 0 or value > 100").isEmpty()
+        chunk = codec.encode_chunks(df, 10**12).first()["chunk"]
+        assert len(chunk) < 16 * 3000
+    assert df.filter("value >= 95").count() in range(10, 60)
+    with pytest.raises(ValueError, match="unknown pattern"):
+        generator.pattern(spark, 1, "other")

@@ -105,3 +105,27 @@ def test_matchers(ask):
     for bad in ("(", "a(?=b)", r"(a)\\1"):
         with pytest.raises(QueryError):
             ask(rows, f'm{{k=~"{bad}"}}')
+
+
+@pytest.mark.parametrize(
+    "pattern, yes, no",
+    [
+        ("[[:alpha:]]+", ["zzz"], ["::", "a1"]), ("[^[:alpha:]]", ["1"], ["a"]), (r"[[:^digit:]]", ["a"], ["1"]), (r"\pL+", ["aé"], ["a1"]), (r"\p{Greek}+", ["αβ"], ["ab"]), (r"\PN", ["x"], ["5"]),
+        (r"\Qa.b\E", ["a.b"], ["axb"]), (r"\Qa.b\E+", ["a.bb"], ["a.ba.b"]), (r"[a-z&&[^z]]+", ["a]", "&]", "[]"], ["a", "z"]), (r"\s", [" "], ["\x0b"]), (r"[\s]", ["\t"], ["\x0b"]), (r"\v", ["\x0b"], ["\n"]),
+        ("ab$", ["ab"], ["ab\n"]), ("(?m)a$\\nb", ["a\nb"], ["ab"]), ("a{,2}", ["a{,2}"], ["aa"]), ("(?P<x>a)|(?<y_1>b)", ["a", "b"], ["c"]), (r"\x{1F600}", ["😀"], ["x"]), (r"\101", ["A"], ["1"]), ("(?i)AB", ["ab"], ["b"]), ("a.b", ["a\rb"], ["a\nb"]), ("]", ["]"], ["a"]), ("a{1,2}?", ["aa"], ["aaa"]),
+    ],
+)
+def test_re2_patterns(spark, pattern, yes, no):
+    from chronoframe.operators.matchers import whole_match
+
+    rows = spark.createDataFrame([(x,) for x in yes + no], "x string")
+    got = {r["x"] for r in rows.filter(rows["x"].rlike(whole_match(pattern))).collect()}
+    assert got == set(yes)
+
+
+@pytest.mark.parametrize("pattern", ["a++", "a**", "(?=a)", "(?<!a)b", r"(a)\1", "(?>a)", "a{1001}", "a{2,1}", "(", ")", "[a", "[[:nope:]]", "*a", r"\k<x>", r"\C", r"\Z", "(?U)a", r"\p{Nope}"])
+def test_patterns_that_re2_lacks(spark, pattern):
+    from chronoframe.operators.matchers import whole_match
+
+    with pytest.raises(QueryError):
+        whole_match(pattern)
