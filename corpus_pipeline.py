@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what one returns
 is written as Parquet and read again as the next one's docs. All but the last
-keep the columns of documents.
+keep the columns of documents, extra ones and clashing names included.
+
+Odd rows: null and empty texts pass the toxicity stage and fail the quality rules,
+which want words. A null id matches no label. Repeated rows share their fate until
+near-duplicates leave one of them; of a group's documents that of the smallest id
+stays, one without id only if no other has one, and ties go to the smaller text
+hash. Null languages and sources are values of their own. Every stage gives an
+empty table for an empty one, and texts of any length are taken whole.
 """
 
 from __future__ import annotations
