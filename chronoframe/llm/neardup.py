@@ -282,10 +282,12 @@ def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: fl
     if open_.isEmpty():
         return open_.select(F.col("low").alias("a"), F.col("node").alias("b"))
     blocks = components(open_.select(F.col("low").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()).withColumnRenamed("label", "block")
-    members = open_.select("node", "label").distinct().join(blocks, "node").join(sets, "node")
+    # packs are planned on rows without sets, which then go where their pack is
+    members = materialized(open_.select("node", "label").distinct().join(blocks, "node").join(sets.select("node", "bytes"), "node"))
     sizes = members.groupBy("block").agg(F.ceil(F.greatest(F.count("*") / PACK, F.sum("bytes") / PACK_BYTES)).alias("chunks"))
-    dealt = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    packs = materialized(dealt.groupBy("block", "chunk", "chunks").agg(F.collect_list(F.struct("node", "label", "s")).alias("a")))
+    dealt = members.join(sizes, "block").select("node", "label", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
+    whole = dealt.join(sets.select("node", "s"), "node").repartition("block", "chunk")
+    packs = materialized(whole.groupBy("block", "chunk").agg(F.any_value("chunks").alias("chunks"), F.collect_list(F.struct("node", "label", "s")).alias("a")))
 
     def within(batch):
         for a in batch["a"]:
@@ -305,18 +307,28 @@ def _across(shared: DataFrame, labels: DataFrame, sets: DataFrame, threshold: fl
 def components(links: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) for all nodes of the links (a, b).
 
-    Every round takes the smallest label of a node and its neighbours, then the
-    label's own label; it ends when nothing changes.
+    Every round points each node to the smallest of its neighbours and itself, then
+    once more, and contracts the links: their ends become where they point, loops
+    and repeats go. So the links shrink from round to round until none is left.
     """
-    edges = materialized(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = materialized(edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+
+    def plain(df):
+        return materialized(df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+
+    edges, labels = plain(links), None
     while True:
-        seen = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        hop = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
-        own = labels.select(F.col("node").alias("to"), F.col("label").alias("jump"))
-        new = materialized(hop.join(own, "to", "left").select("node", "was", F.least("to", F.coalesce("jump", "to")).alias("label")))
-        labels = new.select("node", "label")
-        if new.filter("was <> label").isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = materialized(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to")))
+        further = near.select(F.col("node").alias("via"), F.col("to").alias("end"))
+        step = materialized(near.join(further, F.col("to") == F.col("via")).select("node", F.col("end").alias("to")))
+        if labels is None:
+            labels = step.select("node", F.col("to").alias("label"))
+        else:
+            moved = step.filter("node <> to").select(F.col("node").alias("via"), "to")
+            labels = materialized(labels.join(moved, F.col("label") == F.col("via"), "left").select("node", F.coalesce("to", "label").alias("label")))
+        ends = lambda c, n: step.select(F.col("node").alias(f"at_{c}"), F.col("to").alias(n))  # noqa: E731, B023
+        edges = plain(edges.join(ends("a", "x"), F.col("a") == F.col("at_a")).join(ends("b", "y"), F.col("b") == F.col("at_b")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        if edges.isEmpty():
             return labels
 
 
