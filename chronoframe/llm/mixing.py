@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from chronoframe.llm.common import table, text_or_empty
 
 OTHER = "*"
+#: Factor of a value that is kept whole: its cells stay whole under the other dimensions' factors.
+FAR = 1e6
 
 #: Shares of tokens wanted of each value; those of other values count together under OTHER.
 TARGETS = {
@@ -52,14 +54,15 @@ def with_cells(docs: DataFrame, targets=TARGETS) -> DataFrame:
 
 
 def _solved(goal: Column, cells: Column, turns: int = 10) -> Column:
-    """The factor f with sum(min(f * w, t)) = goal, by Newton's steps from below; all cells are kept whole if they can't meet it."""
+    """The factor f with sum(min(f * w, t)) = goal, by Newton's steps from below; FAR where the cells whole just meet the goal, or can't."""
 
     def step(f: Column, _) -> Column:
         whole = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(f * c["w"] >= c["t"], c["t"]).otherwise(F.lit(0.0)))
         free = F.aggregate(cells, F.lit(0.0), lambda a, c: a + F.when(f * c["w"] >= c["t"], F.lit(0.0)).otherwise(c["w"]))
         return F.when(free > 0, F.greatest(f, (goal - whole) / free)).otherwise(f)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), F.lit(0.0), step)
+    whole = F.aggregate(cells, F.lit(0.0), lambda a, c: a + c["t"])
+    return F.when(goal >= whole * (1 - 1e-12), F.lit(FAR)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(turns)), F.lit(0.0), step))
 
 
 def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 60) -> DataFrame:
@@ -89,7 +92,7 @@ def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 60)
         return F.map_from_entries(F.transform(own, lambda g: F.struct(g["k"].alias("k"), _solved(g["v"], g["own"]).alias("f"))))
 
     def applied(cells: Column, by: Column, i: int) -> Column:
-        return F.transform(cells, lambda c: F.struct(*[c[f"d{j}"].alias(f"d{j}") for j in range(3)], c["t"].alias("t"), (c["w"] * F.coalesce(F.try_element_at(by, c[f"d{i}"]), F.lit(0.0))).alias("w")))
+        return F.transform(cells, lambda c: F.struct(*[c[f"d{j}"].alias(f"d{j}") for j in range(3)], c["t"].alias("t"), F.least(c["t"] * FAR**2, c["w"] * F.coalesce(F.try_element_at(by, c[f"d{i}"]), F.lit(0.0))).alias("w")))
 
     # each half step is one turn: the factors of a dimension are found once, then applied to every cell
     none = F.map_from_entries(F.array().cast("array<struct<k:string,f:double>>"))

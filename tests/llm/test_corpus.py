@@ -186,8 +186,8 @@ def _raked(cells, keep, targets, rounds=400):
     total = keep * sum(cells.values())
 
     def solved(goal, own):
-        if sum(t for t, _ in own) <= goal:
-            return 1e12
+        if goal >= sum(t for t, _ in own) * (1 - 1e-12):
+            return 1e6
         lo, hi = 0.0, 1e12
         for _ in range(200):
             mid = (lo + hi) / 2
@@ -203,14 +203,14 @@ def _raked(cells, keep, targets, rounds=400):
     for _ in range(rounds):
         for i in range(3):
             f = {k: solved(g, [(cells[c], w[c]) for c in cells if c[i] == k]) for k, g in goals[i].items()}
-            w = {c: min(x * f.get(c[i], 0.0), 1e15) for c, x in w.items()}
+            w = {c: min(x * f.get(c[i], 0.0), cells[c] * 1e12) for c, x in w.items()}
     return {c: min(cells[c], x) for c, x in w.items()}
 
 
 @pytest.mark.parametrize("keep", [0.03, 0.1, 0.5])
 def test_mixing(spark, keep):
     rng = random.Random(1)
-    rows = [(i, " ".join(["|" if rng.random() < 0.02 and i % 5 == 0 else "w"] * rng.randint(1, 900)), rng.choice(["s0"] * 6 + ["s1", "s2", None]), rng.choice(["en", "en", "fr"])) for i in range(1500)] + [(None, None, None, None)]
+    rows = [(i, " ".join(["|" if rng.random() < 0.4 and i % 5 == 0 else "w"] * rng.randint(1, 900)), rng.choice(["s0"] * 6 + ["s1", "s2", None]), rng.choice(["en", "en", "fr"])) for i in range(1500)] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     targets = {"source": {"s0": 0.3, "s1": 0.3, "s2": 0.3, "*": 0.1}, "lang": {"en": 0.5, "fr": 0.5, "*": 0.0}, "topic": {"short": 0.1, "medium": 0.5, "long": 0.3, "tabular": 0.1}}
     got = mix_sources(df, keep=keep, targets=targets)
@@ -288,7 +288,7 @@ def test_toxicity_rare_words():
     join = lambda a, b: tuple(np.concatenate(x) for x in zip(a, b, strict=True))
     model = Model([counted(common, 40), join(counted(common, 40), counted(["zyxz"], 4))], shared([*common, "zyxz"] + ["zabc", "zbcd"] * 9))
     rude, rare, plain, new = model.word_ratios(["zyxz", "zyxa", "abcd", "qqqq"])
-    assert rude > 0.5 and rude > rare and abs(plain) < 0.2 and new == 0
+    assert rude > 0.5 and rude > rare and abs(plain) < 0.2 and abs(new) < 0.05
 
 
 def test_toxicity_gram_packing():
