@@ -81,18 +81,30 @@ def ranked(df: DataFrame, op: str, k: int, by=(), unique: bool = False) -> DataF
     return df.withColumn("__rank", F.row_number().over(best)).filter(F.col("__rank") <= k).select("name", "labels", "series_key", "ts", "value", "seq")
 
 
-def rate(df: DataFrame) -> DataFrame:
+def _gain(before: Column, value: Column) -> Column:
+    """What a counter gained from one sample to the next: a fall is a reset, and the new value the gain."""
+    rise = value - before
+    return F.when(before.isNull(), F.lit(0.0)).when(~F.isnan(rise) & (rise >= 0), rise).otherwise(value)
+
+
+def rate(df: DataFrame, part_ms: int = 86_400_000) -> DataFrame:
     """Increase for each second between a series' first and last sample, at the last.
 
     A fall of the value is a reset: the new value is the increase. Series of one
-    sample or no time span have no rate.
+    sample or no time span have no rate. Samples meet by series and time part, so a
+    hot series takes many tasks; one row of each part then meets by series.
     """
-    before = F.lag("value").over(Window.partitionBy("series_key").orderBy("ts", "seq"))
-    rise = F.col("value") - F.col("before")
-    gain = F.when(F.col("before").isNull(), F.lit(0.0)).when(~F.isnan(rise) & (rise >= 0), rise).otherwise(F.col("value"))
-    out = df.withColumn("before", before).withColumn("gain", gain)
-    span = (F.max("ts") - F.min("ts")) / 1000.0
-    out = out.groupBy("series_key", "name", "labels").agg(F.max("ts").alias("ts"), (F.sum("gain") / F.nullif(span, F.lit(0.0))).alias("value"), F.count("*").alias("n"))
+    part = F.expr(f"ts div {int(part_ms)}").alias("part")
+    within = Window.partitionBy("series_key", "part").orderBy("ts", "seq")
+    steps = df.select("name", "labels", "series_key", "ts", "value", "seq", part).withColumns({"before": F.lag("value").over(within), "after": F.lead("ts").over(within)})
+    parts = steps.groupBy("series_key", "name", "labels", "part").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.sum(_gain(F.col("before"), F.col("value"))).alias("gain"),
+        F.max(F.when(F.col("before").isNull(), F.col("value"))).alias("first"), F.max(F.when(F.col("after").isNull(), F.col("value"))).alias("last"),
+    )
+    parts = parts.withColumn("came", F.lag("last").over(Window.partitionBy("series_key").orderBy("part")))
+    span = (F.max("last_ts") - F.min("first_ts")) / 1000.0
+    total = F.sum(F.col("gain") + _gain(F.col("came"), F.col("first")))
+    out = parts.groupBy("series_key", "name", "labels").agg(F.max("last_ts").alias("ts"), (total / F.nullif(span, F.lit(0.0))).alias("value"), F.sum("n").alias("n"))
     return out.filter("n >= 2 and value is not null").select("name", "labels", "series_key", "ts", "value", F.lit(0).cast("long").alias("seq"))
 
 

@@ -129,3 +129,16 @@ def test_patterns_that_re2_lacks(spark, pattern):
 
     with pytest.raises(QueryError):
         whole_match(pattern)
+
+
+def test_rate_over_many_parts(ask):
+    """Samples of several days, with resets within and between them, equal ones and a day without any."""
+    import random
+
+    rng, day = random.Random(2), 86_400_000
+    rows = [("c", {"h": h}, d * day + 1000 * i, rng.randint(0, 9)) for h in "ab" for d in (0, 1, 3) for i in range(4)]
+    got = {dict(r[1])["h"]: r[3] for r in ask(rows, "rate(c)", 0, 9 * day)}
+    for h in "ab":
+        v = [r[3] for r in rows if r[1]["h"] == h]
+        gain = sum(b - a if b >= a else b for a, b in zip(v, v[1:], strict=False))
+        assert got[h] == pytest.approx(gain / ((3 * day + 3000) / 1000))
