@@ -53,6 +53,11 @@ def with_cells(docs: DataFrame, targets=TARGETS) -> DataFrame:
     return df.withColumns({f"c{i}": _bucket(F.col(d), targets[d]) for i, d in enumerate(DIMENSIONS)})
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of the value, which is evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _solved(goal: Column, cells: Column, turns: int = 10) -> Column:
     """The factor f with sum(min(f * w, t)) = goal, by Newton's steps from below; FAR where the cells whole just meet the goal, or can't."""
 
@@ -65,7 +70,7 @@ def _solved(goal: Column, cells: Column, turns: int = 10) -> Column:
     return F.when(goal >= whole * (1 - 1e-12), F.lit(FAR)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(turns)), F.lit(0.0), step))
 
 
-def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 60) -> DataFrame:
+def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 30) -> DataFrame:
     """Probability of keeping a document of each cell: c0, c1, c2, t (its tokens), rate.
 
     celled: as with_cells gives it. Expected tokens are `keep` of all. Target
@@ -75,38 +80,36 @@ def fit_rates(celled: DataFrame, keep: float, targets=TARGETS, rounds: int = 60)
     cells = celled.groupBy(*names).agg(F.sum("tokens").cast("double").alias("t"))
     one = cells.agg(F.array_sort(F.collect_list(F.struct(*[F.col(n).alias(f"d{i}") for i, n in enumerate(names)], "t", (F.lit(float(keep)) * F.col("t")).alias("w")))).alias("cells"), (keep * F.sum("t")).alias("goal"))
 
-    def wanted(one: DataFrame, i: int) -> DataFrame:
-        """Adds v{i}: tokens wanted of each value of a dimension, in proportion to the targets, but no more than there are."""
+    def wanted(i: int) -> Column:
+        """Tokens wanted of each value of a dimension, in proportion to the targets, but no more than there are."""
         named = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(v)).alias("w")) for k, v in sorted(targets[DIMENSIONS[i]].items())])
         there = F.transform(named, lambda g: F.struct(g["k"].alias("k"), g["w"].alias("w"), F.aggregate(F.filter("cells", lambda c: c[f"d{i}"] == g["k"]), F.lit(0.0), lambda a, c: a + c["t"]).alias("t")))
-        one = one.withColumn(f"v{i}", F.filter(there, lambda g: (g["t"] > 0) & (g["w"] > 0)))
-        one = one.withColumn(f"f{i}", _solved(F.col("goal"), F.col(f"v{i}"), 30))
-        return one.withColumn(f"v{i}", F.transform(f"v{i}", lambda g: F.struct(g["k"].alias("k"), F.least(g["t"], F.col(f"f{i}") * g["w"]).alias("v"))))
-
-    for i in range(3):
-        one = wanted(one, i)
+        share = lambda v: _let(_solved(F.col("goal"), v, 30), lambda f: F.transform(v, lambda g: F.struct(g["k"].alias("k"), F.least(g["t"], f * g["w"]).alias("v"))))
+        return _let(F.filter(there, lambda g: (g["t"] > 0) & (g["w"] > 0)), share)
 
-    def factors(cells: Column, i: int) -> Column:
+    def factors(a: Column, i: int) -> Column:
         """value -> factor under the cells' caps"""
-        own = F.transform(f"v{i}", lambda g: F.struct(g["k"].alias("k"), g["v"].alias("v"), F.filter(cells, lambda c: c[f"d{i}"] == g["k"]).alias("own")))
+        own = F.transform(a[f"v{i}"], lambda g: F.struct(g["k"].alias("k"), g["v"].alias("v"), F.filter(a["cells"], lambda c: c[f"d{i}"] == g["k"]).alias("own")))
         return F.map_from_entries(F.transform(own, lambda g: F.struct(g["k"].alias("k"), _solved(g["v"], g["own"]).alias("f"))))
 
-    def applied(cells: Column, by: Column, i: int) -> Column:
-        return F.transform(cells, lambda c: F.struct(*[c[f"d{j}"].alias(f"d{j}") for j in range(3)], c["t"].alias("t"), F.least(c["t"] * FAR**2, c["w"] * F.coalesce(F.try_element_at(by, c[f"d{i}"]), F.lit(0.0))).alias("w")))
+    def applied(a: Column, i: int) -> Column:
+        return F.transform(a["cells"], lambda c: F.struct(*[c[f"d{j}"].alias(f"d{j}") for j in range(3)], c["t"].alias("t"), F.least(c["t"] * FAR**2, c["w"] * F.coalesce(F.try_element_at(a["by"], c[f"d{i}"]), F.lit(0.0))).alias("w")))
 
-    # each half step is one turn: the factors of a dimension are found once, then applied to every cell
+    # each half step is one turn: the factors of a dimension are found once, then applied to every cell;
+    # what every turn needs is part of the state, as an expression outside would be evaluated anew each time
     none = F.map_from_entries(F.array().cast("array<struct<k:string,f:double>>"))
+    state = lambda cells, by, v: F.struct(cells.alias("cells"), by.alias("by"), *[v[i].alias(f"v{i}") for i in range(3)])
 
     def turn(a: Column, s: Column) -> Column:
-        step = None
+        goals, step = [a[f"v{i}"] for i in range(3)], None
         for i in range(3):
-            found = F.struct(a["cells"].alias("cells"), factors(a["cells"], i).alias("by"))
-            used = F.struct(applied(a["cells"], a["by"], i).alias("cells"), none.alias("by"))
+            found, used = state(a["cells"], factors(a, i), goals), state(applied(a, i), none, goals)
             for k, what in ((2 * i, found), (2 * i + 1, used)):
                 step = F.when(s % 6 == k, what) if step is None else step.when(s % 6 == k, what)
         return step
 
-    raked = one.select(F.aggregate(F.sequence(F.lit(0), F.lit(6 * rounds - 1)), F.struct(F.col("cells").alias("cells"), none.alias("by")), turn)["cells"].alias("cells"))
+    start = state(F.col("cells"), none, [wanted(i) for i in range(3)])
+    raked = one.select(F.aggregate(F.sequence(F.lit(0), F.lit(6 * rounds - 1)), start, turn)["cells"].alias("cells"))
     return raked.select(F.explode("cells").alias("c")).select(*[F.col(f"c.d{i}").alias(n) for i, n in enumerate(names)], F.col("c.t").alias("t"), F.least(F.lit(1.0), F.col("c.w") / F.col("c.t")).alias("rate"))
 
 
