@@ -32,8 +32,9 @@ def _plain(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     whole = [[int(c) for c in v] for v in vectors]
     for query, own in zip(queries, query_ids, strict=True):
         q = [int(c) for c in query]
-        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), int(name)) for v, name in zip(whole, ids, strict=True) if name != own)[:k]
-        yield own, [(max(min(-s, 2**63 - 1), -(2**63)), name) for s, name in scored]
+        clipped = lambda v: max(min(sum(a * b for a, b in zip(q, v, strict=True)), 2**63 - 1), -(2**63))  # noqa: E731, B023
+        scored = sorted((-clipped(v), int(name)) for v, name in zip(whole, ids, strict=True) if name != own)[:k]
+        yield own, [(-s, name) for s, name in scored]
 
 
 def max_score(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray | None = None):

@@ -433,7 +433,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, folds: i
                 yield part.filter(pa.array([x < cutoff for x in s], pa.bool_()))
         scores.clear()
 
-    return docs.mapInArrow(kept, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes no dots in names
+    return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
