@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -69,7 +71,39 @@ def arrow_map(df: DataFrame, rows: Callable[[dict[str, list]], Iterable[tuple]],
         if held:
             yield packed(held)
 
-    return df.mapInArrow(run, schema)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: it stays beside the JVM when its task is through."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+#: Limits of what the JVM packs into one Arrow batch while a table of `materialized` is written.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches for what runs inside; the session's own settings hold again afterwards."""
+    before = {k: spark.conf.get(k, None) for k in ARROW}
+    for k, v in ARROW.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 _OWN: list[str] = []
@@ -99,7 +133,8 @@ def materialized(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/chronoframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import arrow_map, materialized, table, text_or_empty
+from chronoframe.llm.common import arrow_map, materialized, release, table, text_or_empty
 
 WORD = re.compile(r"\w+")
 ORDER, PULL, GATE = 6, 20.0, 3.0
@@ -432,6 +432,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3, folds: i
                 s = scores([t or "" for t in part.column(place).to_pylist()])
                 yield part.filter(pa.array([x < cutoff for x in s], pa.bool_()))
         scores.clear()
+        release()
 
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # mapInArrow takes no dots in names
     return plain.mapInArrow(kept, plain.schema).toDF(*docs.columns)

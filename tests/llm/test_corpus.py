@@ -354,3 +354,11 @@ def test_long_texts_through_every_operator(spark):
     r = quality_rules(df, spark.createDataFrame([], "doc_id long, quality int")).first()
     assert r["n_words"] == 120_000 and not r["base_failed"] and r["n_repeat_words"] == 0
     assert score_toxicity(df, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")).count() == 3
+
+
+def test_operators_leave_the_session_as_it_is(spark):
+    from chronoframe.llm import common
+
+    before = {k: spark.conf.get(k) for k in common.ARROW}
+    common.materialized(common.arrow_map(spark.range(5), lambda b: [(x,) for x in b["id"]], "id long")).collect()
+    assert {k: spark.conf.get(k) for k in common.ARROW} == before
